@@ -113,10 +113,10 @@ def _(v):
 
 
 @check("flt12_viable_classes", "logs", """
-WITH seven AS (SELECT source, label * 3 + CAST(value AS BIGINT) % 3 AS label FROM logs),
+WITH seven AS (SELECT source, label * 3 + CAST(floor(value) AS BIGINT) % 3 AS label FROM logs),
 t AS (SELECT label, count(*) AS n, count(DISTINCT source) AS n_sources FROM seven GROUP BY label)
 SELECT label, n, n_sources, CASE WHEN n >= 100 AND n_sources >= 0.3 * (SELECT count(DISTINCT source) FROM seven)
   THEN 1 ELSE 0 END AS recommended FROM t WHERE n >= 50""")
 def _(v):
-    seven = v.logs.withColumn("label", F.col("label") * 3 + F.round("value").cast("long") % 3)
+    seven = v.logs.withColumn("label", F.col("label") * 3 + F.floor("value") % 3)
     return P.viable_classes(seven)

@@ -38,7 +38,7 @@ _text("txt8_number_ratio", "number_ratio",
 _text("txt9_uppercase_ratio", "uppercase_ratio",
       r"round(length(regexp_replace(content, '[^\p{Lu}]', '', 'g')) / (length(content) + 1.0)::DOUBLE, 6)")
 _text("txt11_repeated_chars", "repeated_chars",
-      f"len(list_filter(list_zip({CHARS_SQL}[:-2], {CHARS_SQL}[2:]), x -> x[1] = x[2]))")
+      f"len(list_filter(list_zip({CHARS_SQL}[:-2], {CHARS_SQL}[2:]), lambda x: x[1] = x[2]))")
 
 
 @check("txt6_msg_entropy", "texts", f"""
@@ -125,7 +125,7 @@ STOP_SQL = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 # spaces around every other character, so that edge matches never share one
 TOKENS_SQL = (
     r"list_sort(list_distinct(list_filter(regexp_extract_all(content, '[\p{L}\p{N}_]+'), "
-    rf"w -> regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({STOP_SQL}, w))))"
+    rf"lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}') AND NOT list_contains({STOP_SQL}, w))))"
 )
 
 

@@ -156,16 +156,17 @@ def word_count(col):
 
 
 def entropy(col):
-    """Shannon entropy of characters, base 2; counts come from native text replacement."""
+    """Shannon entropy of characters, base 2.
+
+    The sorted characters fall into runs of equal ones, so the lambda steps once per
+    distinct character and not once per character.
+    """
     c = F.coalesce(_column(col), F.lit(""))
     size = F.length(c).cast("double")
-
-    def add(acc, ch):
-        p = (F.length(c) - F.length(F.replace(c, ch, F.lit("")))) / size
-        return acc - p * F.log2(p)
-
+    runs = F.regexp_extract_all(F.array_join(F.sort_array(characters(c)), ""), F.lit(r"(?s)(.)\1*"), 0)
+    shares = F.transform(F.transform(runs, lambda r: F.length(r)), lambda n: n / size)
     return F.when(size == 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.array_distinct(characters(c)), F.lit(0.0), add)
+        F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     )
 
 
@@ -185,7 +186,7 @@ def repeated_words(col):
         return F.struct(w.alias("prev"), run.alias("run"),
                         (acc["hits"] + F.when(run == 2, 1).otherwise(0)).alias("hits"))
 
-    ordered = F.array_sort(words(F.lower(F.coalesce(_column(col), F.lit("")))))
+    ordered = F.sort_array(words(F.lower(F.coalesce(_column(col), F.lit("")))))
     return F.aggregate(ordered, start, step, lambda acc: acc["hits"])
 
 

@@ -117,6 +117,14 @@ def over_rows(df, keys, before, make, seq="seq", chunk=CHUNK):
     return wide.filter("_own").drop("_chunk", "_own")
 
 
+def mid_ranks(df, keys, column, name="mid_rank"):
+    """1-based rank with ties sharing their mean rank; ranks are made per distinct value."""
+    counted = df.groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    upto = running_totals(counted, keys, [column], {"_upto": F.col("_n")})
+    ranks = upto.select(*keys, column, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    return attach(df, settle(ranks), [*keys, column])
+
+
 def exact_quantiles(df, column, fractions, keys=()):
     """Linear-interpolation quantiles without gathering a group in one task.
 

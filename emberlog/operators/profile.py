@@ -129,7 +129,7 @@ def class_cooccurrence(df, classes=(0, 1), by="source", label="label"):
     """Sources that hold both classes i and j. Works on the class set of a source, not on its rows."""
     held = class_counts(df, (by,), label).groupBy(by).agg(F.collect_set("label").alias("held"))
     pairs = held.select(F.explode("held").alias("class_i"), "held").select("class_i", F.explode("held").alias("class_j"))
-    return pairs.groupBy("class_i").pivot("class_j", list(classes)).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy("class_i").pivot("class_j", list(classes)).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def usable_sources(df, exclude=(), by="source", label="label", null_labels="none"):
