@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from emberlog.checks import filters, profiles, quality, series, times, words  # noqa: F401
+from emberlog.checks import filters, profiles, quality, samples, series, times, vectors, words  # noqa: F401
 from emberlog.checks.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

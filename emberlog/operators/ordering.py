@@ -58,15 +58,15 @@ def with_sequence(df, keys, order, name="seq", total=None, slices=None):
     ``total`` also adds the row count of the group under that name.
     """
     placed = place(df, keys, order, slices)
-    runs = placed.groupBy(*keys, "_slice").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    runs = placed.groupBy(*keys, "_slice").agg(F.min("_m").alias("_first"), F.count("*").alias("_rows_here"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     if not keys:
         earlier = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_rows_here").over(earlier), F.lit(0)))
     if total:
-        runs = runs.withColumn(total, F.sum("_n").over(whole))
-    starts = settle(runs.drop("_n"))
+        runs = runs.withColumn(total, F.sum("_rows_here").over(whole))
+    starts = settle(runs.drop("_rows_here"))
     out = attach(placed, starts, [*keys, "_slice"])
     return out.withColumn(name, F.col("_m") - F.col("_first") + F.col("_before")).drop(
         "_m", "_slice", "_first", "_before"
