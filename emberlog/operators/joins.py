@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Window
@@ -87,10 +88,16 @@ def _signatures(texts, frequency, slack, size=3):
 
 def _grams(texts, size=3):
     """(gram, occurrence) tokens, so that repeated grams count as different ones."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text") - (size - 1), F.lit(1)))
-    pieces = F.transform(starts, lambda i: F.substr(F.col("text"), i, F.lit(size)))
+    # neighbours are zipped; substr at i would walk the text from its start every time
+    cut = texts.select("text_id", F.length("text").alias("size"), F.split("text", "").alias("c"))
+    pieces = F.col("c")
+    for step in range(1, size):
+        shifted = F.slice("c", F.lit(step + 1), F.greatest(F.size("c"), F.lit(1)))
+        pieces = F.zip_with(pieces, shifted, lambda a, b: F.concat(a, b))
+    pieces = F.filter(pieces, lambda g: g.isNotNull())
+    pieces = F.when(F.size("c") < size, F.array(F.array_join("c", ""))).otherwise(pieces)
     # the text itself stays behind: only its length travels with the grams
-    exploded = texts.select("text_id", F.length("text").alias("size"), F.explode(pieces).alias("piece"))
+    exploded = cut.select("text_id", "size", F.explode(pieces).alias("piece"))
     counted = exploded.groupBy("text_id", "size", "piece").agg(F.count("*").alias("k"))
     nth = F.explode(F.sequence(F.lit(1), F.col("k").cast("int")))
     return counted.withColumn("nth", nth).select("text_id", "size", F.concat_ws("#", "piece", "nth").alias("gram"))
@@ -118,7 +125,14 @@ def fuzzy_transfer(new, known, threshold=90, template="template", label="label",
     a = a.join(sizes(left, "new_id", "n"), "new_id")
     b = b.join(sizes(right, "known_id", "m"), "known_id")
     fits = F.abs(F.col("n") - F.col("m")) <= F.greatest("n", "m") * slack + 1e-9
-    pairs = a.join(b, "sig").filter(fits).select("new_id", "known_id").distinct()
+    # matching lengths lie in neighbouring buckets: a common signature is split by length
+    if slack > 0:
+        bucket = lambda n: F.floor(F.log(F.greatest(F.col(n), F.lit(1))) / math.log(1 / (1 - slack)))
+        a = a.withColumn("bucket", bucket("n"))
+        b = b.withColumn("bucket", F.explode(F.sequence(bucket("m") - 1, bucket("m") + 1)))
+    else:
+        a, b = a.withColumn("bucket", F.col("n")), b.withColumn("bucket", F.col("m"))
+    pairs = a.join(b, ["sig", "bucket"]).filter(fits).select("new_id", "known_id").distinct()
     scored = (
         pairs.join(left.select(F.col("text_id").alias("new_id"), F.col("text").alias("new_text")), "new_id")
         .join(right.select(F.col("text_id").alias("known_id"), F.col("text").alias("known_text"), "label"), "known_id")

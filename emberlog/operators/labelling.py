@@ -50,3 +50,190 @@ def normalized_seed_patterns():
     """Seed phrases with punctuation as blanks, the form they are searched in."""
     tidy = lambda p: " ".join("".join(ch if ch.isalnum() else " " for ch in p.lower()).split())
     return {k: sorted({tidy(p) for p in ps}) for k, ps in SEED_PATTERNS.items()}
+
+
+def expand_patterns(spark, synonyms=None):
+    """(category, label, phrase): seed phrases, widened by a (phrase, synonym) table if given."""
+    seeds = spark.createDataFrame(
+        [(k, CATEGORY_LABELS[k], p) for k, ps in SEED_PATTERNS.items() for p in ps], "category string, label int, phrase string"
+    ).withColumn("phrase", normalize_label_text("phrase"))
+    if synonyms is None:
+        return seeds.distinct()
+    more = synonyms.select(normalize_label_text("phrase").alias("phrase"), normalize_label_text("synonym").alias("synonym"))
+    wider = seeds.join(more, "phrase").select("category", "label", F.col("synonym").alias("phrase"))
+    return seeds.unionByName(wider).distinct()
+
+
+def item_words(items, text="template", samples=None):
+    """(item columns, word): distinct keyword tokens of template and samples."""
+    full = normalize_label_text(text)
+    if samples:
+        parts = F.transform(F.col(samples), lambda s: normalize_label_text(s))
+        full = F.concat_ws(" ", full, F.array_join(parts, " "))
+    return items.withColumn("word", F.explode(keyword_tokens(full)))
+
+
+def word_scores(items, order="item", alpha=1.0, beta=0.2, text="template", samples=None, label="label", n="n"):
+    """(word, label, score) learnt from labelled items in order.
+
+    An item adds alpha * n to its label for each of its words and shrinks the word's
+    other labels by 1 - beta. Closed form: a contribution shrinks once for every later
+    item of the word with another label.
+    """
+    rows = item_words(items.filter(F.col(label).isNotNull()), text, samples).select(
+        "word", F.col(label).alias("label"), F.col(n).alias("n"), F.col(order).alias("_order")
+    )
+    a = with_sequence(rows, ["word"], ["_order"], name="_i", total="_all")
+    b = with_sequence(a, ["word", "label"], ["_order"], name="_j", total="_same")
+    later = (F.col("_all") - 1 - F.col("_i")) - (F.col("_same") - 1 - F.col("_j"))
+    return b.groupBy("word", "label").agg(
+        F.sum(F.lit(float(alpha)) * F.col("n") * F.pow(F.lit(1.0 - beta), later)).alias("score")
+    )
+
+
+def pattern_stats(items, text="template", samples=None, label="label", n="n", source="source"):
+    """Keywords, templates, sources and logs behind every label."""
+    known = items.filter(F.col(label).isNotNull())
+    words = item_words(known, text, samples).select(F.col(label).alias("label"), "word").distinct()
+    base = known.groupBy(F.col(label).alias("label")).agg(
+        F.count("*").alias("templates"), F.countDistinct(source).alias("sources"), F.sum(n).alias("logs")
+    )
+    return attach(base, words.groupBy("label").agg(F.count("*").alias("keywords")), ["label"])
+
+
+def apply_feedback(items, feedback, alpha=1.0, beta=0.2, order="item", text="template", label="label", n="n"):
+    """Scores after corrections: feedback rows follow the items in order and count once.
+
+    Also counts how often a label was chosen for a word, and how often another one was.
+    """
+    last = items.agg(F.max(order).alias("m")).first()["m"] or 0
+    cols = [F.col(text), F.col(label), F.col(n), F.col(order)]
+    later = feedback.select(F.col(text), F.col(label), F.lit(1).cast("long").alias(n), (F.col(order) + F.lit(last + 1)).alias(order))
+    every = settle(items.select(*cols).unionByName(later))
+    scores = word_scores(every, order, alpha, beta, text, None, label, n)
+    words = item_words(every.filter(F.col(label).isNotNull()), text).select("word", F.col(label).alias("label"), F.col(order).alias("o"))
+    first = words.groupBy("word", "label").agg(F.min("o").alias("first"))
+    given = words.filter(F.col("o") > last)
+    positive = given.groupBy("word", "label").agg(F.count("*").alias("positive"))
+    chosen = given.select("word", F.col("label").alias("chosen"), "o")
+    # a word has at most eight labels, so a correction meets at most eight rows here
+    negative = chosen.join(first, "word").filter((F.col("chosen") != F.col("label")) & (F.col("o") > F.col("first")))
+    negative = negative.groupBy("word", "label").agg(F.count("*").alias("negative"))
+    out = attach(attach(scores, positive, ["word", "label"]), negative, ["word", "label"])
+    return out.na.fill(0, ["positive", "negative"])
+
+
+def _margin(scores, key):
+    """Best and second score per item; ties go to the lower label."""
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "label")
+    ranked = scores.withColumn("rn", F.row_number().over(order)).filter("rn <= 2")
+    return ranked.groupBy(key).agg(
+        F.max(F.when(F.col("rn") == 1, F.col("label"))).alias("suggested"),
+        F.max(F.when(F.col("rn") == 1, F.col("score"))).alias("best"),
+        F.max(F.when(F.col("rn") == 2, F.col("score"))).alias("second"),
+    )
+
+
+def confidence_tier(best, margin):
+    return F.when((best >= 2.0) & (margin >= 0.5), "high").when((best >= 1.0) & (margin >= 0.2), "medium").otherwise("low")
+
+
+def suggest_labels(templates, scores, idf=None, cosines=None, probabilities=None, key="item", text="template", samples=None):
+    """suggested, best score and confidence per template.
+
+    ``scores`` come from word_scores; optional evidence: (term, idf), (key, label, cosine)
+    and (key, label, probability).
+    """
+    words = item_words(templates.select(key, text, *([samples] if samples else [])), text, samples)
+    inside = F.instr(normalize_label_text(text), F.col("word")) > 0
+    lift = words.groupBy(key).agg(F.pow(F.lit(1.1), F.sum(F.when(inside, 1).otherwise(0))).alias("lift"))
+    share = scores.withColumn("_total", F.sum("score").over(Window.partitionBy("word"))).filter("_total > 0")
+    share = share.select("word", "label", (F.col("score") / F.col("_total")).alias("share"))
+    if idf is not None:
+        share = attach(share, idf.select(F.col("term").alias("word"), "idf"), ["word"])
+        share = share.withColumn("share", F.col("share") * F.coalesce("idf", F.lit(1.0))).drop("idf")
+    hits = words.select(key, "word").join(settle(share), "word")
+    evidence = hits.groupBy(key, "label").agg(F.sum("share").alias("score"))
+    evidence = attach(evidence, lift, [key]).select(key, "label", (F.col("score") * F.col("lift")).alias("score"))
+    if cosines is not None:
+        evidence = settle(evidence)
+        top = evidence.groupBy(key).agg(F.max("score").alias("_top"))
+        sims = attach(cosines.filter("cosine > 0").select(key, "label", "cosine"), top, [key])
+        weight = F.when(F.col("_top").isNull(), 1.0).when(F.col("_top") < 1.0, 0.75)
+        more = sims.withColumn("score", F.col("cosine") * weight).filter("score IS NOT NULL").select(key, "label", "score")
+        evidence = evidence.unionByName(more)
+    if probabilities is not None:
+        evidence = evidence.unionByName(
+            probabilities.select(key, "label", (F.col("probability") * 1.25).alias("score"))
+        )
+    total = evidence.groupBy(key, "label").agg(F.sum("score").alias("score"))
+    best = attach(templates, _margin(total, key), [key])
+    margin = F.col("best") - F.coalesce("second", F.lit(0.0))
+    return best.withColumns({
+        "confidence": F.coalesce(confidence_tier(F.col("best"), margin), F.lit("low")),
+        "suggested": F.coalesce("suggested", F.lit(0)),
+        "best": F.coalesce("best", F.lit(0.0)),
+    }).drop("second")
+
+
+def auto_label(items):
+    """High-confidence suggestions become labels where none is set."""
+    take = F.col("label").isNull() & (F.col("confidence") == "high")
+    return items.withColumns({
+        "label": F.when(take, F.col("suggested")).otherwise(F.col("label")),
+        "notes": F.when(take, F.lit("Auto-labeled (high confidence)")).otherwise(F.col("notes")),
+    })
+
+
+def bulk_label(items, accept=(), rest=None):
+    """Open items take suggestions listed in ``accept``; the remainder becomes ``rest`` (0 or 7) if given."""
+    open_ = F.col("label").isNull()
+    yes = open_ & F.col("suggested").isin(list(accept)) if accept else F.lit(False)
+    label = F.when(yes, F.col("suggested"))
+    notes = F.when(yes, F.lit("Bulk labeled by suggestion"))
+    if rest is not None:
+        label = label.when(open_, F.lit(rest))
+        notes = notes.when(open_, F.lit({0: "Bulk: Default normal", 7: "Bulk: Default unknown anomaly"}[rest]))
+    return items.withColumns({
+        "label": label.otherwise(F.col("label")), "notes": notes.otherwise(F.col("notes"))
+    })
+
+
+def validate_labels(items, key="template", samples="samples"):
+    """(item, issue) rows for labels that look wrong; an item may have several."""
+    content = F.lower(F.array_join(samples, " "))
+    has = lambda words: reduce(lambda a, b: a | b, [content.contains(w) for w in words])
+    known = items.filter(F.col("label").isNotNull())
+    rules = [
+        ("security_without_keywords", (F.col("label") == 1) & ~has(SECURITY_WORDS)),
+        ("normal_with_error_words", (F.col("label") == 0) & has(ERROR_WORDS)),
+        ("frequent_anomaly", (F.col("label") > 0) & (F.col("percent") > 15)),
+    ]
+    found = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules]), lambda x: x.isNotNull())
+    return known.select("source", key, "label", F.explode(found).alias("issue"))
+
+
+def completion_gate(items, issues, by="source"):
+    """Template completion, log coverage, issues, and whether a source needs review."""
+    done = F.col("label").isNotNull()
+    figures = items.groupBy(by).agg(
+        F.avg(F.when(done, 1.0).otherwise(0.0)).alias("completion"),
+        (F.sum(F.when(done, F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"),
+    )
+    counts = issues.groupBy(by).agg(F.count("*").alias("issues"))
+    out = attach(figures, counts, [by]).withColumn("issues", F.coalesce("issues", F.lit(0)))
+    return out.withColumn(
+        "gate",
+        F.when(F.col("completion") < 0.7, "incomplete").when(F.col("issues") > 5, "review").otherwise("complete"),
+    )
+
+
+def export_training(logs, frac=0.8, seed=42, content="content", template="template", label="label", key="log_id"):
+    """Labelled rows with text flags and an 80/20 part column."""
+    from emberlog.operators.sampling import stratified_split
+
+    known = logs.filter(F.col(label) >= 0)
+    parts = stratified_split(known, frac, seed, label, key)
+    return parts.select(
+        key, content, template, *[c.alias(n) for n, c in export_flag_columns(content, template).items()], "source", label, "part"
+    )
