@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from emberlog.checks import filters, labelled, profiles, quality, samples, series, times, vectors, words  # noqa: F401
+from emberlog.checks import filters, fits, labelled, profiles, quality, samples, series, streams, tables, times, vectors, words  # noqa: F401
 from emberlog.checks.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

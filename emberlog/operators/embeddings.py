@@ -188,7 +188,7 @@ def fit_width(vec, n=200):
 
 
 def assemble_variant(df, name, groups, vec="vec", out="features", selected=None):
-    """Feature vector of a named variant from groups of columns; doubles are left out.
+    """Feature vector of a named variant from groups of columns; repeated columns enter once.
 
     ``groups`` maps statistical, sentence, template, anomaly, complexity, temporal,
     stat_numbers, rolling and time to column lists.
@@ -198,7 +198,7 @@ def assemble_variant(df, name, groups, vec="vec", out="features", selected=None)
     if "embedding" in columns:
         work = df.withColumn("_vec", array_to_vector(F.transform(F.col(vec), lambda x: x.cast("double"))))
         columns = ["_vec" if c == "embedding" else c for c in columns]
-    made = VectorAssembler(inputCols=columns, outputCol=out, handleInvalid="keep").transform(work)
+    made = VectorAssembler(inputCols=columns, outputCol=out).transform(work)
     return made.drop("_vec")
 
 

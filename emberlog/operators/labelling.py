@@ -64,13 +64,17 @@ def expand_patterns(spark, synonyms=None):
     return seeds.unionByName(wider).distinct()
 
 
-def item_words(items, text="template", samples=None):
-    """(item columns, word): distinct keyword tokens of template and samples."""
+def _tokens(text, samples):
     full = normalize_label_text(text)
     if samples:
         parts = F.transform(F.col(samples), lambda s: normalize_label_text(s))
         full = F.concat_ws(" ", full, F.array_join(parts, " "))
-    return items.withColumn("word", F.explode(keyword_tokens(full)))
+    return keyword_tokens(full)
+
+
+def item_words(items, text="template", samples=None):
+    """(item columns, word): distinct keyword tokens of template and samples."""
+    return items.withColumn("word", F.explode(_tokens(text, samples)))
 
 
 def word_scores(items, order="item", alpha=1.0, beta=0.2, text="template", samples=None, label="label", n="n"):
@@ -80,8 +84,8 @@ def word_scores(items, order="item", alpha=1.0, beta=0.2, text="template", sampl
     other labels by 1 - beta. Closed form: a contribution shrinks once for every later
     item of the word with another label.
     """
-    rows = item_words(items.filter(F.col(label).isNotNull()), text, samples).select(
-        "word", F.col(label).alias("label"), F.col(n).alias("n"), F.col(order).alias("_order")
+    rows = items.filter(F.col(label).isNotNull()).select(
+        F.explode(_tokens(text, samples)).alias("word"), F.col(label).alias("label"), F.col(n).alias("n"), F.col(order).alias("_order")
     )
     a = with_sequence(rows, ["word"], ["_order"], name="_i", total="_all")
     b = with_sequence(a, ["word", "label"], ["_order"], name="_j", total="_same")
@@ -144,15 +148,18 @@ def suggest_labels(templates, scores, idf=None, cosines=None, probabilities=None
     ``scores`` come from word_scores; optional evidence: (term, idf), (key, label, cosine)
     and (key, label, probability).
     """
-    words = item_words(templates.select(key, text, *([samples] if samples else [])), text, samples)
-    inside = F.instr(normalize_label_text(text), F.col("word")) > 0
-    lift = words.groupBy(key).agg(F.pow(F.lit(1.1), F.sum(F.when(inside, 1).otherwise(0))).alias("lift"))
+    words = templates.select(key, F.explode(_tokens(text, samples)).alias("word"))
+    # the text stays in its own row; it is not copied to every word
+    inside = F.transform(
+        F.array(normalize_label_text(text)), lambda t: F.size(F.filter(_tokens(text, samples), lambda w: F.instr(t, w) > 0))
+    )
+    lift = templates.select(key, F.pow(F.lit(1.1), F.get(inside, F.lit(0))).alias("lift"))
     share = scores.withColumn("_total", F.sum("score").over(Window.partitionBy("word"))).filter("_total > 0")
     share = share.select("word", "label", (F.col("score") / F.col("_total")).alias("share"))
     if idf is not None:
         share = attach(share, idf.select(F.col("term").alias("word"), "idf"), ["word"])
         share = share.withColumn("share", F.col("share") * F.coalesce("idf", F.lit(1.0))).drop("idf")
-    hits = words.select(key, "word").join(settle(share), "word")
+    hits = words.join(settle(share), "word")
     evidence = hits.groupBy(key, "label").agg(F.sum("share").alias("score"))
     evidence = attach(evidence, lift, [key]).select(key, "label", (F.col("score") * F.col("lift")).alias("score"))
     if cosines is not None:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from emberlog.durable import settle
 from emberlog.functions.text import mask_variables
-from emberlog.operators.ordering import attach, with_sequence
+from emberlog.operators.ordering import attach, slice_count, with_sequence
 from emberlog.operators.profile import top_of_group
 
 # Similarity and depth per source type, and the children a tree node may have.
@@ -32,6 +32,7 @@ ANY = "<*>"
 
 LEAF_ROWS = 2000  # larger leaves are worked off in rounds
 LEAF_CHARS = 8_000_000
+BUCKET_CHARS = 8_000_000  # characters of small leaves that share a task
 ROUND_ROWS = 256
 
 
@@ -94,15 +95,25 @@ def _lead(tokens, sim):
 
 
 def _cluster_small(leaves):
-    """All texts of a leaf at once; leaves are limited by rows and characters."""
+    """All texts of a leaf at once. Leaves are limited by rows and characters, and share
+    a task by hash; a leaf with one text needs no Python."""
+    alone = leaves.filter("_rows = 1").select("source", "masked", F.col("masked").alias("leader"))
+    rest = leaves.filter("_rows > 1")
+    chars = rest.agg(F.sum(F.length("masked")).alias("c")).first()["c"] or 0
+    buckets = max(slice_count(leaves.sparkSession), chars // BUCKET_CHARS)
 
     def run(pdf):
-        pdf = pdf.sort_values(["n", "masked"], ascending=[False, True], kind="stable")
-        lead = _lead([np.asarray(t, dtype=object).astype(str) for t in pdf["tokens"]], pdf["sim"].iloc[0])
-        masked = pdf["masked"].to_numpy()
-        return pd.DataFrame({"source": pdf["source"].to_numpy(), "masked": masked, "leader": masked[lead]})
+        out = []
+        pdf = pdf.sort_values(["leaf", "n", "masked"], ascending=[True, False, True], kind="stable")
+        for _, leaf in pdf.groupby("leaf", sort=False):
+            lead = _lead([np.asarray(t, dtype=object).astype(str) for t in leaf["tokens"]], leaf["sim"].iloc[0])
+            masked = leaf["masked"].to_numpy()
+            out.append(pd.DataFrame({"source": leaf["source"].to_numpy(), "masked": masked, "leader": masked[lead]}))
+        return pd.concat(out)
 
-    return leaves.groupBy("leaf").applyInPandas(run, "source string, masked string, leader string")
+    packed = rest.withColumn("_bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets)))
+    grouped = packed.groupBy("_bucket").applyInPandas(run, "source string, masked string, leader string")
+    return alone.unionByName(grouped)
 
 
 def _cluster_rounds(open_texts, batch=ROUND_ROWS):
@@ -162,7 +173,7 @@ def mine_templates(df, content="content", source="source", sim=None, depth=None,
     sizes = settle(texts.groupBy("leaf").agg(F.count("*").alias("_rows"), F.sum(F.length("masked")).alias("_chars")))
     sized = attach(texts, sizes, ["leaf"])
     small = (F.col("_rows") <= leaf_rows) & (F.col("_chars") <= LEAF_CHARS)
-    links = _cluster_small(sized.filter(small).drop("_rows", "_chars"))
+    links = _cluster_small(settle(sized.filter(small).drop("_chars")))
     big = sized.filter(~small).drop("_rows", "_chars")
     if not big.isEmpty():
         links = links.unionByName(_cluster_rounds(settle(big)))
