@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.text import mask_variables
 from emberlog.session import tune
+from emberlog.sources.readers import spread
 
 QUERIES = {}
 ORACLES = {}
@@ -23,6 +24,10 @@ class Views:
     def table(self, name):
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def documents(self):
+        return spread(self.table("documents"))
+
     @cached_property
     def logs(self):
         return self.table("events").select(
@@ -37,7 +42,7 @@ class Views:
     @cached_property
     def texts(self):
         marks = self.table("labels").select("doc_id", "toxic")
-        return self.table("documents").join(marks, "doc_id", "left").select(
+        return self.documents.join(marks, "doc_id", "left").select(
             F.col("doc_id").alias("log_id"),
             "source",
             "lang",
@@ -48,7 +53,7 @@ class Views:
     @cached_property
     def lines(self):
         """Every non-blank line of every document is a log line."""
-        docs = self.table("documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")))
+        docs = self.documents.select("doc_id", "source", F.posexplode(F.split("text", "\n")))
         return docs.filter(F.trim("col") != "").select(
             (F.col("doc_id") * 100000 + F.col("pos")).alias("log_id"),
             "doc_id",
@@ -71,7 +76,7 @@ class Views:
     @cached_property
     def preds(self):
         marks = self.table("labels").select("doc_id", F.col("toxic").alias("y"))
-        base = self.table("documents").join(marks, "doc_id").select(
+        base = self.documents.join(marks, "doc_id").select(
             F.col("doc_id").alias("log_id"), "source", "y", "n_chars"
         )
         models = F.explode(F.array(*[

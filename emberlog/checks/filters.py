@@ -19,13 +19,13 @@ NAME_SQL = "lang || '_' || source || '_' || text || '.csv'"
 SELECT doc_id, {_first_hit_sql(NAME_SQL, L.NAME_RULES)} AS source_type FROM documents""")
 def _(v):
     name = F.concat(F.concat_ws("_", "lang", "source", "text"), F.lit(".csv"))
-    return v.table("documents").select("doc_id", L.source_type_from_name(name).alias("source_type"))
+    return v.documents.select("doc_id", L.source_type_from_name(name).alias("source_type"))
 
 
 @check("flt2_source_type_from_text", sql=f"""
 SELECT doc_id, {_first_hit_sql('text', L.TEXT_RULES)} AS source_type FROM documents""")
 def _(v):
-    return v.table("documents").select("doc_id", L.source_type_from_text("text").alias("source_type"))
+    return v.documents.select("doc_id", L.source_type_from_text("text").alias("source_type"))
 
 
 @check("flt3_log_record_shape", "logs", f"""

@@ -10,6 +10,7 @@ from emberlog.operators import evaluate as EV
 from emberlog.operators import models as M
 from emberlog.operators import scoring as SC
 from emberlog.operators import selection as FS
+from emberlog.operators.sampling import stratified_split
 from emberlog.functions.text import add_text_features
 
 NUMBERS = ["msg_length", "msg_word_count", "msg_unique_chars", "number_ratio"]
@@ -77,9 +78,9 @@ def _(v):
 
 
 def split(v):
-    df = two_classes(v)
-    hold = F.col("log_id") % 4 == 3
-    return df.filter(~hold), df.filter(hold)
+    """Three quarters of every class train, the rest is held out."""
+    parts = stratified_split(two_classes(v), 0.75)
+    return parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part")
 
 
 QUICK = {
@@ -125,13 +126,12 @@ def _(v):
 
 @check("mod10_pipeline_rule")
 def _(v):
-    sizes = two_classes(v).groupBy("label").agg(F.count("*").alias("n"))
-    counts = {r["label"]: r["n"] for r in sizes.collect()}
-    sampler, k = M.sampler_for(counts)
-    rows = [(name, name not in M.UNSCALED, str(None if name in M.BALANCED else sampler),
-             sampler is None and name not in M.NO_WEIGHT and name not in M.BALANCED)
-            for name in [*M.GRIDS, *M.BALANCED]]
-    return v.spark.createDataFrame(rows, "model string, scaled boolean, sampler string, weighted boolean")
+    # one class in ten: the rule picks a resampler for the training rows, and no class weights
+    df = v.vecs.select("log_id", F.when(F.col("label") == 0, 1).otherwise(0).alias("label"), "vec")
+    parts = stratified_split(df, 0.75)
+    rest, held = parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part")
+    sampler, _ = M.sampler_for(M.class_sizes(rest))
+    return M.predict(M.train(rest, "lr"), held).select("log_id", "label", "p", F.lit(sampler).alias("sampler"))
 
 
 @check("mod12_reconstruction_error")

@@ -37,7 +37,7 @@ def _(v):
 @check("src3_raw_text_lines", "lines", "SELECT source, count(*) AS n_lines, min(length(content)) AS shortest, max(length(content)) AS longest, count(*) AS last_id FROM lines GROUP BY source")
 def _(v):
     path = fresh_path(v.spark, "text")
-    v.table("documents").select("source", F.col("text").alias("value")).repartition(1, "source").write.partitionBy("source").text(path)
+    v.documents.select("source", F.col("text").alias("value")).repartition("source").write.partitionBy("source").text(path)
     lines = R.read_raw_lines(v.spark, path + "/source=*")
     named = lines.withColumn("source", F.regexp_extract("file", "source=([^/]+)/", 1))
     return named.groupBy("source").agg(
@@ -48,7 +48,7 @@ def _(v):
 
 @check("src4_content_column", sql="SELECT doc_id, text AS content FROM documents")
 def _(v):
-    docs = v.table("documents")
+    docs = v.documents
     return docs.select("doc_id", R.resolve_content(docs).alias("content"))
 
 

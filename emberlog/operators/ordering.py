@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
@@ -17,13 +17,19 @@ from emberlog.durable import settle
 CHUNK = 20_000  # rows of one group that a row-frame window sees at a time
 
 
-def slice_count(spark):
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+SLICE_BYTES = 64 << 20
 
 
-def same(left, right, names):
-    """Null-safe equality on all names."""
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def slice_count(df):
+    """Slices for a sort: one per 64 MB by Spark's estimate, at least one per core.
+
+    spark.sql.shuffle.partitions is the upper bound, so set it for the largest input.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(most, max(cores, size // SLICE_BYTES)))
 
 
 def literals(one_row):
@@ -42,7 +48,7 @@ def place(df, keys, order, slices=None):
     """Sort by range and number the rows; ``_m`` rises with (keys, order)."""
     keys = [F.col(k) for k in keys]
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    n = slices or slice_count(df.sparkSession)
+    n = slices or slice_count(df)
     placed = (
         df.repartitionByRange(n, *keys, *order)
         .sortWithinPartitions(*keys, *order)
@@ -136,16 +142,23 @@ def exact_quantiles(df, column, fractions, keys=()):
     cum = running_totals(counted, keys, ["_v"], {"_upto": F.col("_n")})
     sizes = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     ranked = attach(cum, settle(sizes), keys) if keys else cum.withColumns(literals(sizes))
-    wanted = F.explode(F.array(*[F.lit(float(f)) for f in fractions]))
-    spread = ranked.withColumn("fraction", wanted).withColumn("_pos", F.col("fraction") * (F.col("_size") - 1))
-    low, high = F.floor("_pos"), F.ceil("_pos")
     first = F.col("_upto") - F.col("_n")
-    holds = lambda p: (p >= first) & (p < F.col("_upto"))
-    picked = spread.groupBy(*keys, "fraction").agg(
-        F.max(F.when(holds(low), F.col("_v"))).alias("_lo"),
-        F.max(F.when(holds(high), F.col("_v"))).alias("_hi"),
-        F.max(F.col("_pos") - low).alias("_w"),
-    )
-    return picked.select(
-        *keys, "fraction", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")).alias("quantile")
-    )
+
+    def value_at(p):
+        return F.max(F.when((p >= first) & (p < F.col("_upto")), F.col("_v")))
+
+    # one pass: the values around every wanted position, then interpolation on the few results
+    made = []
+    for i, f in enumerate(fractions):
+        pos = F.lit(float(f)) * (F.col("_size") - 1)
+        made += [value_at(F.floor(pos)).alias(f"lo{i}"), value_at(F.ceil(pos)).alias(f"hi{i}"),
+                 F.max(pos - F.floor(pos)).alias(f"w{i}")]
+    picked = ranked.groupBy(*keys).agg(*made)
+    rows = F.array(*[
+        F.struct(
+            F.lit(float(f)).alias("fraction"),
+            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"w{i}")).alias("quantile"),
+        )
+        for i, f in enumerate(fractions)
+    ])
+    return picked.select(*keys, F.explode(rows).alias("r")).select(*keys, "r.*")

@@ -24,7 +24,7 @@ def scale(df, fitted):
     return df.withColumns({c: (F.col(c) - F.lit(m)) / F.lit(s or 1.0) for c, (m, s) in fitted.items()})
 
 
-def bin_edges(df, cols, bins=10, accuracy=100_000):
+def bin_edges(df, cols, bins=10, accuracy=10_000):
     """Inner quantile edges of all columns from mergeable sketches, in one pass."""
     points = [i / bins for i in range(1, bins)]
     row = df.agg(*[F.percentile_approx(c, points, accuracy).alias(f"e{i}") for i, c in enumerate(cols)]).first()

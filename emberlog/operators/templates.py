@@ -29,6 +29,7 @@ TREE_SETTINGS = {
 MAX_CHILDREN = 100
 WILDCARDS = ["<NUM>", "<IP>", "<PATH>", "<UUID>"]
 ANY = "<*>"
+SEP = "\u0001"
 
 LEAF_ROWS = 2000  # larger leaves are worked off in rounds
 LEAF_CHARS = 8_000_000
@@ -61,23 +62,31 @@ def _settings(column, sim, depth):
 
 
 def leaf_keys(texts, sim=None, depth=None):
-    """Add sim and the leaf key: token count and leading tokens, rare children merged."""
+    """Add sim and the leaf key: token count and leading tokens, rare children merged.
+
+    Nodes are counted on the distinct prefixes; the texts are only read to make those.
+    """
     s, d = _settings("source", sim, depth)
-    out = texts.withColumns({"sim": s, "_depth": d, "leaf": F.concat_ws("\u0001", "source", F.size("tokens"))})
-    levels = max(v[1] for v in TREE_SETTINGS.values()) if depth is None else depth
-    for level in range(levels - 2):
-        token = F.get("tokens", F.lit(level))
-        inside = (F.col("_depth") - 2 > level) & token.isNotNull()
-        child = F.when(inside, F.when(token.rlike(r"<|\d"), ANY).otherwise(token)).otherwise("")
-        out = settle(out.withColumn("_child", child))
-        sizes = out.groupBy("leaf", "_child").agg(F.sum("n").alias("_size"))
-        kept = top_of_group(sizes, "leaf", [F.col("_size").desc(), F.col("_child")], MAX_CHILDREN).select(
-            "leaf", "_child", F.lit(True).alias("_kept")
+    levels = (max(v[1] for v in TREE_SETTINGS.values()) if depth is None else depth) - 2
+    names = [f"_t{i}" for i in range(levels)]
+    work = texts.withColumns({"sim": s, "_depth": d, "_len": F.size("tokens")})
+    for i, name in enumerate(names):
+        token = F.get("tokens", F.lit(i))
+        inside = (F.col("_depth") - 2 > i) & token.isNotNull()
+        work = work.withColumn(name, F.when(inside, F.when(token.rlike(r"<|\d"), ANY).otherwise(token)).otherwise(""))
+    work = settle(work.drop("_depth"))
+    keys = ["source", "_len", *names]
+    nodes = settle(work.groupBy(*keys).agg(F.sum("n").alias("_n")))
+    nodes = nodes.withColumn("leaf", F.concat_ws(SEP, "source", "_len"))
+    for name in names:
+        sizes = nodes.groupBy("leaf", name).agg(F.sum("_n").alias("_size"))
+        kept = top_of_group(sizes, "leaf", [F.col("_size").desc(), F.col(name)], MAX_CHILDREN).select(
+            "leaf", name, F.lit(True).alias("_kept")
         )
-        out = attach(out, settle(kept), ["leaf", "_child"])
-        name = F.when(F.col("_kept"), F.col("_child")).otherwise(ANY)
-        out = out.withColumn("leaf", F.concat_ws("\u0001", "leaf", name)).drop("_child", "_kept")
-    return out.drop("_depth")
+        nodes = settle(attach(nodes, kept, ["leaf", name]).withColumn(
+            "leaf", F.concat_ws(SEP, "leaf", F.when(F.col("_kept"), F.col(name)).otherwise(ANY))
+        ).drop("_kept"))
+    return attach(work, nodes.drop("_n"), keys).drop("_len", *names)
 
 
 def _lead(tokens, sim):
@@ -100,7 +109,7 @@ def _cluster_small(leaves):
     alone = leaves.filter("_rows = 1").select("source", "masked", F.col("masked").alias("leader"))
     rest = leaves.filter("_rows > 1")
     chars = rest.agg(F.sum(F.length("masked")).alias("c")).first()["c"] or 0
-    buckets = max(slice_count(leaves.sparkSession), chars // BUCKET_CHARS)
+    buckets = max(slice_count(leaves), chars // BUCKET_CHARS)
 
     def run(pdf):
         out = []

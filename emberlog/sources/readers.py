@@ -14,6 +14,15 @@ TEXT_COLUMNS = StructType([StructField(c, StringType()) for c in
                            ("LineId", "Month", "Date", "Day", "Time", "Content", "EventId", "EventTemplate")])
 
 
+def spread(df):
+    """Hand the rows of a few large row groups to all cores; many-file inputs stay as they are.
+
+    One parquet row group is one task, which text columns make a long one.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_logs(spark, path, fmt="csv", schema=None):
     """Structured logs. CSV columns stay text unless a schema is given: a date such as 081109 keeps its zero."""
     reader = spark.read
