@@ -161,16 +161,28 @@ def _cluster_rounds(open_texts, batch=ROUND_ROWS):
 
 
 def _merge(texts, links):
-    """Template text per leader: positions where its members differ become <*>."""
-    members = attach(texts.select("source", "masked", "n", "tokens"), links, ["source", "masked"], "inner")
-    cells = members.select("source", "leader", F.posexplode("tokens").alias("pos", "token"))
-    merged = cells.groupBy("source", "leader", "pos").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
+    """Template text per leader: positions where its members differ become <*>.
+
+    Clusters go by the digest of their leader, so that no token row carries a text, and
+    only clusters with several texts are taken apart.
+    """
+    named = links.withColumn("cluster", F.md5("leader"))
+    members = attach(texts.select("source", "masked", "n", "tokens"), named, ["source", "masked"], "inner")
+    sizes = settle(members.groupBy("source", "cluster").agg(
+        F.sum("n").alias("n"), F.count("*").alias("n_variants"), F.min("leader").alias("leader")
+    ))
+    several = sizes.filter("n_variants > 1").select("source", "cluster")
+    cells = attach(members.select("source", "cluster", "tokens"), several, ["source", "cluster"], "left_semi").select(
+        "source", "cluster", F.posexplode("tokens").alias("pos", "token")
+    )
+    merged = cells.groupBy("source", "cluster", "pos").agg(F.min("token").alias("lo"), F.max("token").alias("hi"))
     word = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(ANY)
-    texts_of = merged.groupBy("source", "leader").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda s: s["w"]), " ").alias("template")
+    mixed = merged.groupBy("source", "cluster").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", word.alias("w")))), lambda s: s["w"]), " ").alias("mixed")
     )
-    sizes = members.groupBy("source", "leader").agg(F.sum("n").alias("n"), F.count("*").alias("n_variants"))
-    return attach(sizes, texts_of, ["source", "leader"])
+    own = F.array_join(F.regexp_extract_all("leader", F.lit(r"\S+"), 0), " ")
+    out = attach(sizes, mixed, ["source", "cluster"])
+    return out.select("source", "leader", "n", "n_variants", F.coalesce("mixed", own).alias("template"))
 
 
 def mine_templates(df, content="content", source="source", sim=None, depth=None, leaf_rows=LEAF_ROWS):

@@ -1,5 +1,6 @@
 """python tests/run_checks.py SF_DIR [name-prefix ...]: compare registered queries with their twins."""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -14,7 +15,8 @@ from tests.oracle import compare, open_duckdb
 
 def main():
     sf, wanted = sys.argv[1], sys.argv[2:]
-    spark = build_session(master="local[8]", shuffle_partitions=8, spark__driver__memory="16g", spark__ui__enabled="false")
+    extra = {} if "PLAIN" in os.environ else {"shuffle_partitions": 8}
+    spark = build_session(master="local[8]", spark__driver__memory="16g", spark__ui__enabled="false", **extra)
     spark.sparkContext.setLogLevel("ERROR")
     con = open_duckdb(sf)
     queries, oracles = entry_points.queries(), entry_points.oracle_sql()
