@@ -88,7 +88,8 @@ def _(v):
 
 @check("smp12_few_shot_episode", "texts", f"""
 WITH r AS (SELECT log_id, label, {rank_sql('label')} AS k FROM texts)
-SELECT log_id, label, CASE WHEN k <= 5 THEN 'support' ELSE 'query' END AS role FROM r WHERE k <= 20""")
+SELECT log_id, label, CASE WHEN k <= 5 THEN 'support' ELSE 'query' END AS role FROM r
+WHERE k <= 20 AND (SELECT min(n) FROM (SELECT count(*) AS n FROM texts GROUP BY label)) >= 20""")
 def _(v):
     return S.episode(v.texts).select("log_id", "label", "role")
 
@@ -108,7 +109,8 @@ def _(v):
 @check("smp14_imbalanced_episode", "texts", f"""
 WITH r AS (SELECT log_id, label, {rank_sql('label')} AS k FROM texts)
 SELECT log_id, label, CASE WHEN k <= CASE WHEN label = 1 THEN 5 ELSE 10 END THEN 'support' ELSE 'query' END AS role FROM r
-WHERE k <= CASE WHEN label = 1 THEN 20 ELSE 25 END""")
+WHERE k <= CASE WHEN label = 1 THEN 20 ELSE 25 END
+  AND (SELECT count(*) FROM texts WHERE label = 1) >= 20 AND (SELECT count(*) FROM texts WHERE label = 0) >= 25""")
 def _(v):
     return S.episode_imbalanced(v.texts).select("log_id", "label", "role")
 
