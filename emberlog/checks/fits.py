@@ -124,7 +124,7 @@ def _(v):
     return M.grid_search(rest, "lr", {"regParam": [1.0, 0.1]}, k=2, sampler=None)[1]
 
 
-@check("mod10_pipeline_rule")
+@check("mod10_stage_rule")
 def _(v):
     # one class in ten: the rule picks a resampler for the training rows, and no class weights
     df = v.vecs.select("log_id", F.when(F.col("label") == 0, 1).otherwise(0).alias("label"), "vec")
