@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import StructType
+
 from emberlog.session import tune
 
 QUERIES = {}
@@ -29,6 +31,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def extend(schema, ddl):
+    """``schema`` with the fields of a DDL string behind its own."""
+    return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def split_words(text, separators=BLANKS):
     """Array of the non-empty pieces between ``separators``; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
