@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from emberlog.llm import byte_bpe, chat_format, decontamination, near_duplicates, quality_rules, ring_sharding  # noqa: F401
+from emberlog.llm import byte_bpe, chat_format, decontamination, near_duplicates, quality_rules, repeated_spans, ring_sharding  # noqa: F401
 from emberlog.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
