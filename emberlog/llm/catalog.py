@@ -1,6 +1,9 @@
 """All queries of the subpackage."""
 
-from emberlog.llm import byte_bpe, chat_format, decontamination, near_duplicates, quality_rules, repeated_spans, ring_sharding  # noqa: F401
+from emberlog.llm import (  # noqa: F401
+    byte_bpe, chat_format, decontamination, license_scan, near_duplicates, page_templates, quality_rules, repeated_spans,
+    ring_sharding, token_counts,
+)
 from emberlog.llm.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
