@@ -103,21 +103,21 @@ def decontaminate(docs, items, id="doc_id", text="text", item="item_id", item_te
     hits = scan(docs.select(F.col(id), F.col(text)), windows, id, text)
     n = covered_words()
     bad = settle(hits.filter(n > 0).filter(n > max_hit_share * F.col("n_words")).select(F.col(id).alias("_bad_id")))
-    return docs.join(bad, docs[id].eqNullSafe(F.col("_bad_id")), "left_anti")
+    return docs.join(bad.hint("merge"), docs[id].eqNullSafe(F.col("_bad_id")), "left_anti")
 
 
 def remove_spans(docs, items, id="doc_id", text="text", item="item_id", item_text="text"):
     """``docs`` with every hit word, and what separates it from the next hit word, cut out of the text."""
     windows = benchmark_windows(items, item, item_text)
     hits = scan(docs.select(F.col(id), F.col(text)), windows, id, text)
-    spans = settle(hits.filter(F.size("hits") > 0).select(F.col(id).alias("_hit_id"), "hits"))
-    joined = docs.join(spans, docs[id].eqNullSafe(F.col("_hit_id")), "left")
+    spans = settle(hits.filter(F.size("hits") > 0).select(F.col(id).alias("_hit_id"), F.col("hits").alias("_hits")))
+    joined = docs.join(spans.hint("merge"), docs[id].eqNullSafe(F.col("_hit_id")), "left")
     # one piece per word with the separators in front of it, and the rest
     pieces = joined.withColumn("_pieces", F.regexp_extract_all(
         F.col(text), F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0)))
     rest = F.expr(f"substr(`{text}`, length(array_join(_pieces, '')) + 1)")
-    kept = F.expr("filter(_pieces, (x, i) -> NOT exists(hits, h -> i >= h.at AND i < h.until))")
-    cut = F.when(F.col("hits").isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), rest))
+    kept = F.expr("filter(_pieces, (x, i) -> NOT exists(_hits, h -> i >= h.at AND i < h.until))")
+    cut = F.when(F.col("_hits").isNull(), F.col(text)).otherwise(F.concat(F.array_join(kept, ""), rest))
     return pieces.withColumn(text, cut).select(*[f"`{n}`" for n in docs.columns])
 
 

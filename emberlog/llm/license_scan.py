@@ -64,7 +64,7 @@ def with_bands(df, shingles):
 
 
 def scan(docs, templates, id="doc_id", text="text", percent=PERCENT):
-    """One row per ``id`` and license: ``share`` (percent of the best match), ``at`` (first word of the first matching window), ``windows``."""
+    """One row per ``id`` and license: ``share`` (percent of the best match), ``first_word`` of the first matching window, ``windows``."""
     step = F.greatest(F.floor(F.col("words") / 4), F.lit(1)).cast("int")
     known = templates.select("words", F.explode("shingles").alias("known")).distinct()
     probes = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_text"), folded_words(F.col(text)).alias("_words"))
@@ -84,7 +84,7 @@ def scan(docs, templates, id="doc_id", text="text", percent=PERCENT):
     verified = verified.withColumn("_share", F.floor(100 * both / size)).filter(100 * both >= percent * size)
     return verified.groupBy(F.col("_id").alias(id), "license").agg(
         F.max("_share").cast("long").alias("share"),
-        F.min(F.col("_k") * F.col("_step")).cast("long").alias("at"),
+        F.min(F.col("_k") * F.col("_step")).cast("long").alias("first_word"),
         F.countDistinct("_text", "words", "_k").cast("long").alias("windows"),
     )
 
@@ -100,11 +100,11 @@ ts AS (SELECT DISTINCT template, license, words, greatest(words // 4, 1) AS step
 tn AS (SELECT template, count(*) AS size FROM ts GROUP BY 1),
 dw AS (SELECT doc_id, {split} AS w FROM documents),
 dp AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM dw WHERE len(w) >= 5),
-dg AS (SELECT doc_id, i - 1 AS at, array_to_string(w[i:i + 4], ' ') AS g FROM dp),
-h AS (SELECT doc_id, at, dg.g, template, license, words, step FROM dg JOIN ts ON ts.g = dg.g),
-k AS (SELECT *, unnest(range(greatest(ceil((at - (words + step - 5) + 1) / step), 0)::BIGINT, at // step + 1)) AS k FROM h),
+dg AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS g FROM dp),
+h AS (SELECT doc_id, pos, dg.g, template, license, words, step FROM dg JOIN ts ON ts.g = dg.g),
+k AS (SELECT *, unnest(range(greatest(ceil((pos - (words + step - 5) + 1) / step), 0)::BIGINT, pos // step + 1)) AS k FROM h),
 c AS (SELECT doc_id, template, license, words, step, k, count(DISTINCT g) AS n FROM k GROUP BY ALL)
-SELECT doc_id, license, max(100 * n // size)::BIGINT AS share, min(k * step)::BIGINT AS at, count(DISTINCT (words, k))::BIGINT AS windows
+SELECT doc_id, license, max(100 * n // size)::BIGINT AS share, min(k * step)::BIGINT AS first_word, count(DISTINCT (words, k))::BIGINT AS windows
 FROM c JOIN tn USING (template) WHERE 100 * n >= 80 * size GROUP BY doc_id, license
 """
 

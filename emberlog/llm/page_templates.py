@@ -5,7 +5,7 @@ of a host with the same occurrence vector over the host's pages (equal counts on
 page) form an equivalence class. A class is valid if it spans enough of the host's pages;
 valid classes nest by their paths into the host's template. Text tokens in valid classes
 belong to the template; what remains between them are the slots. The slot of the article is
-the container of the template that names one, else the one with most slot text.
+the container of the template that is named so, else the one with most slot text.
 
 Vectors are compared by an XOR of digests of (page, count), which is combined map-side, so a
 host with a third of all pages is counted in parallel. Pages are read twice and never
@@ -172,7 +172,7 @@ def templates(counted, support=SUPPORT):
     name = F.element_at(F.split("path", "/"), -1)
     depth = F.size(F.split("path", "/"))
     rank = F.struct(F.when(name == "article", 2).when(name == "main", 1).otherwise(0), F.when(name.isin("article", "main"), -depth).otherwise(0), "slot_chars", "path")
-    usable = F.col("valid") & (F.col("slot_chars") > 0)
+    usable = F.col("valid") & ((F.col("slot_chars") > 0) | name.isin("article", "main"))
     return settle(slots.groupBy("host").agg(
         F.countDistinct(F.when(F.col("valid"), F.col("vector"))).alias("classes"),
         F.max_by(F.when(usable, F.col("path")), F.when(usable, rank)).alias("main")))
