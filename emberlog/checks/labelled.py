@@ -67,6 +67,12 @@ def _(v):
 
 
 @check("tpl4_global_template_ids", "logs", """
+SELECT log_id, dense_rank() OVER (ORDER BY source, content) - 1 AS global_id FROM logs""")
+def _(v):
+    return T.global_template_ids(v.logs, template="content").select("log_id", "global_id")
+
+
+@check("tpl4_capped_template_ids", "logs", """
 SELECT log_id, least(dense_rank() OVER (ORDER BY source, content) - 1, 99) AS global_id FROM logs""")
 def _(v):
     return T.global_template_ids(v.logs, cap=100, template="content").select("log_id", "global_id")
@@ -203,9 +209,10 @@ def suggestions(v):
     return LAB.suggest_labels(it, LAB.word_scores(it))
 
 
-@check("lab4_label_suggestion", "tpl", f"WITH {SUGGEST_SQL} SELECT item, suggested, round(best, 4) AS best FROM sg WHERE best < 1e6")
+@check("lab4_label_suggestion", "tpl", f"WITH {SUGGEST_SQL} SELECT item, suggested, round(ln(1 + best), 6) AS log_best FROM sg")
 def _(v):
-    return suggestions(v).filter("best < 1e6").select("item", "suggested", r6("best", 4).alias("best"))
+    # the score spans many magnitudes; its logarithm is rounded to the same number of digits everywhere
+    return suggestions(v).select("item", "suggested", r6(F.log1p("best")).alias("log_best"))
 
 
 @check("lab5_suggestion_confidence", "tpl", f"WITH {SUGGEST_SQL} SELECT item, confidence FROM sg")

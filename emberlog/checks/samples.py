@@ -234,6 +234,15 @@ def _(v):
     return J.contrastive_pairs(v.logs).filter("kind IN ('label', 'other_label')").select("first", "second", "same")
 
 
+@check("jn8_minority_pairs", "logs", f"""
+WITH r AS (SELECT log_id, {rank_sql('label')} AS k, label FROM logs), c AS (SELECT label, count(*) AS n FROM logs GROUP BY label ORDER BY n, label LIMIT 1),
+p AS (SELECT n, unnest(range(3 * n)) AS id FROM c), d AS (SELECT n, {draw_sql('id', 46)} % n + 1 AS a, 1 + {draw_sql('id', 47)} % (n - 1) AS s FROM p),
+m AS (SELECT r.log_id, r.k FROM r JOIN c USING (label))
+SELECT x.log_id AS first, y.log_id AS second FROM d JOIN m x ON x.k = a JOIN m y ON y.k = (a - 1 + s) % n + 1""")
+def _(v):
+    return J.contrastive_pairs(v.logs, augment=True).filter("kind = 'minority'").select("first", "second")
+
+
 @check("top1_top_anomalies", "preds", """
 SELECT model, log_id, score FROM preds WHERE p = 1 ORDER BY score DESC, log_id, model LIMIT 25""")
 def _(v):

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from emberlog.checks.base import check, r6
 from emberlog.checks.series import GAP_SQL
+from emberlog.durable import fresh_path
 from emberlog.functions.text import error_flag_columns
 from emberlog.operators import models as M
 from emberlog.operators.windows import _gap
@@ -82,9 +83,21 @@ def _(v):
     return J.stream_score(log_stream(v), lambda b: M.score_text(model, b).select("log_id", "source", "label", "p"))
 
 
-@check("st7_late_rows", "logs", "SELECT 0 AS dropped, count(*) AS kept FROM logs")
+@check("st7_late_rows", "logs", """
+WITH l AS (SELECT *, row_number() OVER (ORDER BY ts, log_id) AS k, max(ts) OVER (ORDER BY ts, log_id) AS upto FROM logs),
+e AS (SELECT min(CASE WHEN log_id % 10 <> 0 THEN ts END) AS a, max(CASE WHEN log_id % 10 <> 0 THEN ts END) AS b FROM logs),
+late AS (SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE <= b - INTERVAL 1 HOUR AS dropped FROM logs, e WHERE log_id % 10 = 0)
+SELECT (SELECT count(*) FROM late WHERE dropped) AS dropped, (SELECT count(*) FROM logs) - (SELECT count(*) FROM late WHERE dropped) AS kept""")
 def _(v):
-    stream = J.stream_counts(log_stream(v), "1 hour")
-    query, path = J.run_available(stream)
-    dropped = J.late_rows(query)
-    return v.logs.agg(F.lit(dropped).alias("dropped"), F.count("*").alias("kept"))
+    # two files: nine rows of ten first, the rest a batch later, most of it behind the watermark
+    folder, out = fresh_path(v.spark, "late"), fresh_path(v.spark, "late-out")
+    rows = v.logs.withColumn("second", F.col("log_id") % 10 == 0)
+    dropped = kept = 0
+    for second in (False, True):
+        rows.filter(F.col("second") == second).drop("second").coalesce(1).write.mode("append").parquet(folder)
+        stream = v.spark.readStream.schema(v.logs.schema).parquet(folder)
+        query, path = J.run_available(J.stream_counts(stream, "1 minute", "1 hour"), "update", out)
+        dropped += J.late_rows(query)
+    # in update mode a window is reported with its whole count whenever it changes
+    windows = v.spark.read.parquet(path).groupBy("window_start", "source").agg(F.max_by("n", "batch").alias("n"))
+    return windows.agg(F.lit(dropped).cast("long").alias("dropped"), F.sum("n").alias("kept"))

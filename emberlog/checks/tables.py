@@ -25,13 +25,58 @@ def _(v):
     return R.read_logs(v.spark, path)
 
 
-@check("src2_sources_by_file_name", sql=" UNION ALL ".join(
-    f"SELECT '{t[:-1]}' AS source, count(*) AS n_rows FROM {t}"
-    for t in ("documents", "embeddings", "events", "labels", "pages", "conversations", "orders")))
+#: How the sixteen sources write their times (column -> pattern), and the part of a time they keep.
+LAYOUTS = {
+    "Android": ({"Date": "MM-dd", "Time": "HH:mm:ss.SSS"}, "milliseconds"),
+    "Apache": ({"Time": "EEE MMM dd HH:mm:ss yyyy"}, "second"),
+    "BGL": ({"Date": "yyyy.MM.dd"}, "day"),
+    "Hadoop": ({"Date": "yyyy-MM-dd", "Time": "HH:mm:ss,SSS"}, "milliseconds"),
+    "HDFS": ({"Date": "yyMMdd", "Time": "HHmmss"}, "second"),
+    "HealthApp": ({"Time": "yyyyMMdd-H:m:s:SSS"}, "milliseconds"),
+    "HPC": ({"Time": None}, "second"),
+    "Linux": ({"Month": "MMM", "Date": "d", "Time": "HH:mm:ss"}, "second"),
+    "Mac": ({"Month": "MMM", "Date": "d", "Time": "HH:mm:ss"}, "second"),
+    "OpenSSH": ({"Date": "MMM", "Day": "d", "Time": "HH:mm:ss"}, "second"),
+    "OpenStack": ({"Date": "yyyy-MM-dd", "Time": "HH:mm:ss.SSS"}, "milliseconds"),
+    "Proxifier": ({"Time": "MM.dd HH:mm:ss"}, "second"),
+    "Spark": ({"Date": "yy/MM/dd", "Time": "HH:mm:ss"}, "second"),
+    "Thunderbird": ({"Month": "MMM", "Day": "d", "Time": "HH:mm:ss"}, "second"),
+    "Windows": ({"Date": "yyyy-MM-dd", "Time": "HH:mm:ss"}, "second"),
+    "Zookeeper": ({"Date": "yyyy-MM-dd", "Time": "HH:mm:ss,SSS"}, "milliseconds"),
+}
+MESSAGES = {"Proxifier": "Message", "Mac": "content"}  # the others write Content
+
+
+def write_sources(v, folder):
+    """The logs as one CSV file per source, each with a header of its own."""
+    spark, jvm = v.spark, v.spark.sparkContext._jvm
+    for i, (name, (times, _)) in enumerate(LAYOUTS.items()):
+        made = [F.unix_seconds("ts").alias(c) if p is None else F.date_format("ts", p).alias(c) for c, p in times.items()]
+        rows = v.logs.filter(F.col("source") == f"s{i}").select(F.col("log_id").alias("LineId"), *made, F.col("content").alias(MESSAGES.get(name, "Content")))
+        rows.coalesce(1).write.csv(f"{folder}/{name}", header=True, escape='"')
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/part-*")
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in fs.globStatus(path):
+            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}_2k_labeled.csv"))
+    return f"{folder}/*_labeled.csv"
+
+
+def _kept_sql():
+    names = " ".join(f"WHEN 's{i}' THEN '{n.lower()}'" for i, n in enumerate(LAYOUTS))
+    parts = " ".join(f"WHEN 's{i}' THEN date_trunc('{p}', ts)" for i, (_, p) in enumerate(LAYOUTS.values()))
+    return f"SELECT CASE source {names} END AS source, log_id, content, strftime(CASE source {parts} END, '%Y-%m-%d %H:%M:%S.%g') AS ts FROM logs"
+
+
+@check("src2_sources_by_file_name", "logs", _kept_sql())
 def _(v):
-    return R.read_sources(v.spark, f"{v.sf_dir}/*s.parquet", suffix="s", fmt="parquet", schema="event_id long").groupBy("source").agg(
-        F.count("*").alias("n_rows")
-    )
+    from emberlog.functions.labels import canonical_source
+    from emberlog.functions.timestamps import normalize_timestamps
+
+    logs = R.read_sources(v.spark, write_sources(v, fresh_path(v.spark, "sources")))
+    year = v.logs.agg(F.year(F.min("ts"))).first()[0] or 1970
+    return normalize_timestamps(logs, "source", default_year=year).select(
+        canonical_source("source").alias("source"), F.col("LineId").cast("long").alias("log_id"), F.col("Content").alias("content"),
+        F.col("timestamp_normalized").alias("ts"))
 
 
 @check("src3_raw_text_lines", "lines", "SELECT source, count(*) AS n_lines, min(length(content)) AS shortest, max(length(content)) AS longest, count(*) AS last_id FROM lines GROUP BY source")

@@ -7,24 +7,14 @@ small table, so that its own threshold decides between broadcast and shuffle.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-_local_roots = {}
-
 
 def shared_root(spark):
-    """The folder named in spark.checkpoint.dir; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named in spark.checkpoint.dir; where it is unset, the warehouse, which is shared too."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        context = spark.sparkContext
-        root = context.getCheckpointDir()
-        if not root:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            root = _local_roots.get(context.applicationId)
-            if root is None:
-                root = _local_roots[context.applicationId] = tempfile.mkdtemp(prefix="emberlog-")
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_settled"
     return f"{root.rstrip('/')}/emberlog-{spark.sparkContext.applicationId}"
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from emberlog.functions.labels import canonical_source
+
 OUTPUT = "yyyy-MM-dd HH:mm:ss.SSS"
 RAW_COLUMNS = ("Month", "Date", "Day", "Time")
 
@@ -70,7 +72,7 @@ def normalize_timestamps(df, source_type_col="source_type", default_year=1970):
         if c not in held:
             work = work.withColumn(f"__{c.lower()}", F.lit(None).cast("string"))
     raw = {c: F.col(f"__{c.lower()}") for c in RAW_COLUMNS}
-    kind = F.col(source_type_col)
+    kind = canonical_source(source_type_col)
     parsers = _parsers(raw, default_year)
     ts = F.lit(None).cast("timestamp")
     for name in reversed(SOURCE_TYPES):

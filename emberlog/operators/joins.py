@@ -169,7 +169,7 @@ def contrastive_pairs(df, seed=42, template="content", label="label", log_id="lo
     Every row gets one drawn partner of its own label and one of another label, found by
     equi-joins on the draw rank; neighbours of one template with equal labels are added.
     """
-    rows = df.select(by, log_id, label, template)
+    rows = df.select(by, log_id, label, template).filter(F.col(label).isNotNull())
     ranked = settle(hash_rank(rows.select(log_id, label), [label], log_id, seed=seed, name="rank", size="n"))
     sizes = {r[label]: r["n"] for r in ranked.groupBy(label).agg(F.max("n").alias("n")).collect()}
     total = sum(sizes.values())
@@ -210,7 +210,7 @@ def contrastive_pairs(df, seed=42, template="content", label="label", log_id="lo
         rare = min(labels, key=lambda k: (sizes[k], k))
         n = sizes[rare]
         if n > 1:
-            spins = df.sparkSession.range(min(3 * n, 1500)).select(
+            spins = df.sparkSession.range(3 * n).select(
                 (F.pmod(draw("id", seed=seed + 4), F.lit(n)) + 1).alias("a"),
                 (1 + F.pmod(draw("id", seed=seed + 5), F.lit(n - 1))).alias("s"),
             ).withColumn("b", F.pmod(F.col("a") - 1 + F.col("s"), F.lit(n)) + 1)

@@ -21,15 +21,13 @@ SLICE_BYTES = 64 << 20
 
 
 def slice_count(df):
-    """Slices for a sort: one per 64 MB by Spark's estimate, at least one per core.
+    """Slices for a sort: one per 64 MB of the tables read, at least one per core.
 
-    spark.sql.shuffle.partitions is the upper bound, so set it for the largest input.
+    The estimate of the whole plan isn't used: it multiplies the sides of joins.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(most, max(cores, size // SLICE_BYTES)))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(1, df.sparkSession.sparkContext.defaultParallelism, size // SLICE_BYTES)
 
 
 def literals(one_row):

@@ -13,8 +13,8 @@ SEED = 42
 
 
 def _counts(df, label="label"):
-    """Class sizes as a dict; one entry per class."""
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    """Class sizes as a dict; one entry per class. Rows without a label belong to none."""
+    return {r[label]: r["n"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).collect()}
 
 
 def _per_class(values, label="label"):
@@ -28,10 +28,9 @@ def cap_rows(df, n=5000, seed=SEED, by="source", key="log_id"):
 
 
 def stratified_split(df, frac=0.8, seed=SEED, label="label", key="log_id"):
-    """Adds ``part``: round(frac * size) train rows of every class; plain split if a class has one row."""
-    plain = any(n < 2 for n in _counts(df, label).values())
-    out = hash_rank(df, [] if plain else [label], key, seed=seed, size="_n")
-    part = F.when(F.col("draw_rank") <= F.round(F.col("_n") * frac), "train").otherwise("test")
+    """Adds ``part``: round(frac * size) train rows of every class; the only row of a class trains."""
+    out = hash_rank(df, [label], key, seed=seed, size="_n")
+    part = F.when((F.col("_n") == 1) | (F.col("draw_rank") <= F.round(F.col("_n") * frac)), "train").otherwise("test")
     return out.withColumn("part", part).drop("draw_rank", "_n")
 
 

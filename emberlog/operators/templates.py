@@ -18,7 +18,7 @@ from emberlog.functions.text import mask_variables
 from emberlog.operators.ordering import attach, slice_count, with_sequence
 from emberlog.operators.profile import top_of_group
 
-# Similarity and depth per source type, and the children a tree node may have.
+# Similarity and depth per source type.
 TREE_SETTINGS = {
     "hdfs": (0.5, 4),
     "bgl": (0.3, 5),
@@ -26,7 +26,6 @@ TREE_SETTINGS = {
     "apache": (0.4, 4),
     "default": (0.4, 4),
 }
-MAX_CHILDREN = 100
 WILDCARDS = ["<NUM>", "<IP>", "<PATH>", "<UUID>"]
 ANY = "<*>"
 SEP = "\u0001"
@@ -61,9 +60,10 @@ def _settings(column, sim, depth):
     return pick(0, sim), pick(1, depth)
 
 
-def leaf_keys(texts, sim=None, depth=None):
-    """Add sim and the leaf key: token count and leading tokens, rare children merged.
+def leaf_keys(texts, sim=None, depth=None, max_children=None):
+    """Add sim and the leaf key: token count and leading tokens.
 
+    With ``max_children`` the rarer children of a tree node are merged.
     Nodes are counted on the distinct prefixes; the texts are only read to make those.
     """
     s, d = _settings("source", sim, depth)
@@ -78,9 +78,11 @@ def leaf_keys(texts, sim=None, depth=None):
     keys = ["source", "_len", *names]
     nodes = settle(work.groupBy(*keys).agg(F.sum("n").alias("_n")))
     nodes = nodes.withColumn("leaf", F.concat_ws(SEP, "source", "_len"))
-    for name in names:
+    for name in names if max_children is None else ():
+        nodes = nodes.withColumn("leaf", F.concat_ws(SEP, "leaf", name))
+    for name in names if max_children is not None else ():
         sizes = nodes.groupBy("leaf", name).agg(F.sum("_n").alias("_size"))
-        kept = top_of_group(sizes, "leaf", [F.col("_size").desc(), F.col(name)], MAX_CHILDREN).select(
+        kept = top_of_group(sizes, "leaf", [F.col("_size").desc(), F.col(name)], max_children).select(
             "leaf", name, F.lit(True).alias("_kept")
         )
         nodes = settle(attach(nodes, kept, ["leaf", name]).withColumn(
@@ -257,11 +259,11 @@ def add_template_features(df, stats, template="template", source="source", with_
     return attach(df, figures, [source, template]).na.fill(0, list(made))
 
 
-def global_template_ids(df, cap=10_000, source="source", template="template"):
-    """One id per (source, template) over all sources; those past the cap share the last id."""
+def global_template_ids(df, cap=None, source="source", template="template"):
+    """One dense id per (source, template) over all sources; those past a stated cap share the last id."""
     pairs = df.select(source, template).distinct()
     ranked = with_sequence(pairs, [], [source, template], name="global_id")
-    ids = settle(ranked.withColumn("global_id", F.least("global_id", F.lit(cap - 1))))
+    ids = settle(ranked if cap is None else ranked.withColumn("global_id", F.least("global_id", F.lit(cap - 1))))
     return attach(df, ids, [source, template])
 
 

@@ -33,7 +33,8 @@ def leaderboard(df, by="model_type", score="f1", name="model"):
 
 def page(df, after=None, size=50, max_size=1000, ts="ts", key="log_id"):
     """Newest first. ``after`` is the (ts, key) of the last row seen; no offset is counted."""
-    size = min(size, max_size)
+    if size > max_size:
+        raise ValueError(f"a page holds {max_size} rows at most")
     if after is not None:
         when, last = after
         when = F.lit(when).cast("timestamp")

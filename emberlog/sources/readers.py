@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
 
@@ -10,10 +12,6 @@ from emberlog.operators.ordering import with_sequence
 # Column names that may hold the message, in order of preference.
 CONTENT_NAMES = ["Content", "content", "Message", "message", "Text", "text"]
 
-TEXT_COLUMNS = StructType([StructField(c, StringType()) for c in
-                           ("LineId", "Month", "Date", "Day", "Time", "Content", "EventId", "EventTemplate")])
-
-
 def spread(df):
     """Hand the rows of a few large row groups to all cores; many-file inputs stay as they are.
 
@@ -33,11 +31,40 @@ def read_logs(spark, path, fmt="csv", schema=None):
     return reader.format(fmt).load(path)
 
 
+def _headers(spark, glob):
+    """header line -> paths of the files with it. Opens every file for one line, as schema inference does."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(glob)
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = {}
+    for status in fs.globStatus(pattern) or []:
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(fs.open(status.getPath()), "UTF-8"))
+        header = lines.readLine()
+        lines.close()
+        if header:
+            found.setdefault(header.lstrip("\ufeff"), []).append(status.getPath().toString())
+    return found
+
+
 def read_sources(spark, glob, suffix="_labeled", fmt="csv", schema=None):
-    """Many files in one scan; the source is the file stem without its suffix."""
+    """Many files at once, each by its own header; the source is the file stem without its suffix.
+
+    Files with one header are one scan. Columns that a file lacks are null. The message is
+    in ``Content`` whatever the file calls it; files without a message column are left out.
+    A given schema, or another format than CSV, is read as it stands.
+    """
     stem = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*?)({suffix})?\.[A-Za-z]+$", 1)
-    df = read_logs(spark, glob, fmt, schema)
-    return df.select("*", stem.alias("source"))
+    if schema is not None or fmt != "csv":
+        return read_logs(spark, glob, fmt, schema).select("*", stem.alias("source"))
+    parts = []
+    for _, paths in sorted(_headers(spark, glob).items()):
+        df = read_logs(spark, paths)
+        name = next((n for n in CONTENT_NAMES if n in df.columns), None)
+        if name is not None:
+            parts.append(df.select("*", stem.alias("source")).withColumnRenamed(name, "Content"))
+    if not parts:
+        raise ValueError(f"no file of {glob} has a message column")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_raw_lines(spark, path):

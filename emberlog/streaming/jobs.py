@@ -6,6 +6,7 @@ Windows are closed by the watermark; rows later than it are dropped and counted.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from emberlog.durable import fresh_path, settle
@@ -49,26 +50,59 @@ def stream_templates(df, template="template"):
     return df.groupBy(template).agg(F.count("*").alias("n"))
 
 
-def run_available(stream, mode="append"):
-    """Process what is there, write every batch below the shared folder, return (query, path)."""
-    spark = stream.sparkSession
-    path = fresh_path(spark, "stream")
+def run_available(stream, mode="append", path=None):
+    """Process what is there, write every batch below ``path``, return (query, folder of batches).
+
+    A second run with the same ``path`` goes on where the first one ended; without one the
+    run has a folder of its own. Each batch also notes how many rows were dropped as late.
+    """
+    path = path or fresh_path(stream.sparkSession, "stream")
 
     def keep(batch, batch_id):
         # the batch id is part of the path: a repeated batch replaces itself
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/out/id={batch_id}")
 
+    return _run(stream, keep, path, mode), f"{path}/out"
+
+
+class _Dropped(StreamingQueryListener):
+    """Adds up the late rows of every progress report of one query, however many there are."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        report = event.progress
+        late = sum(op.numRowsDroppedByWatermark for op in report.stateOperators)
+        self.rows[str(report.id), report.batchId] = max(late, self.rows.get((str(report.id), report.batchId), 0))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def _run(stream, keep, path, mode="append"):
+    spark, counted = stream.sparkSession, _Dropped()
+    spark.streams.addListener(counted)
     query = (
         stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
         .foreachBatch(keep).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return query, f"{path}/out"
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    spark.streams.removeListener(counted)
+    query.dropped = sum(n for (id, _), n in counted.rows.items() if id == str(query.id))
+    return query
 
 
-def collect_stream(stream, mode="append", keys=()):
+def collect_stream(stream, mode="append", keys=(), path=None):
     """Result table of a finished stream; in update mode the newest row per key."""
-    _, path = run_available(stream, mode)
+    _, path = run_available(stream, mode, path)
     schema = StructType([*stream.schema.fields, StructField("batch", LongType())])
     rows = stream.sparkSession.read.schema(schema).parquet(path).drop("id")
     if mode == "append":
@@ -79,10 +113,8 @@ def collect_stream(stream, mode="append", keys=()):
 
 
 def late_rows(query):
-    """Rows dropped for being older than the watermark, over all progress reports."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for p in query.recentProgress for op in p.get("stateOperators", [])
-    )
+    """Rows that a finished ``run_available`` dropped for being older than the watermark."""
+    return query.dropped
 
 
 class History:
@@ -92,8 +124,8 @@ class History:
     that is run again finds the tail of the batch before it and gives the same result.
     """
 
-    def __init__(self, spark, schema, tail=50, by="source", ts="ts", key="log_id"):
-        self.root = fresh_path(spark, "history")
+    def __init__(self, spark, schema, tail=50, by="source", ts="ts", key="log_id", path=None):
+        self.root = path or fresh_path(spark, "history")
         self.spark, self.schema, self.tail = spark, schema, tail
         self.by, self.ts, self.key = by, ts, key
 
@@ -114,38 +146,30 @@ class History:
         return out
 
 
-def stream_history(stream, make, tail=50, by="source", ts="ts", key="log_id"):
+def stream_history(stream, make, tail=50, by="source", ts="ts", key="log_id", path=None):
     """Row-frame columns over a stream, with the last ``tail`` rows of a source carried over.
 
     Rows are taken in arrival order of batches and time order inside a batch. Returns the
-    finished result table for an availableNow run.
+    result table so far; a second run with the same ``path`` goes on with the kept rows.
     """
     spark = stream.sparkSession
-    history = History(spark, stream.schema, tail, by, ts, key)
-    path = fresh_path(spark, "stream")
+    path = path or fresh_path(spark, "stream")
+    history = History(spark, stream.schema, tail, by, ts, key, f"{path}/history")
 
     def keep(batch, batch_id):
         history.step(batch, batch_id, make).write.mode("overwrite").parquet(f"{path}/out/id={batch_id}")
 
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _run(stream, keep, path)
     return spark.read.parquet(f"{path}/out").drop("id")
 
 
-def stream_score(stream, score_fn):
-    """Score every micro-batch with a fitted model; returns the scored table of a finished run."""
+def stream_score(stream, score_fn, path=None):
+    """Score every micro-batch with a fitted model; returns the scored table so far, and goes on with the same ``path``."""
     spark = stream.sparkSession
-    path = fresh_path(spark, "scored")
+    path = path or fresh_path(spark, "scored")
 
     def keep(batch, batch_id):
         score_fn(batch).write.mode("overwrite").parquet(f"{path}/out/id={batch_id}")
 
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(keep)
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    _run(stream, keep, path)
     return spark.read.parquet(f"{path}/out").drop("id")

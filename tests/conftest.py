@@ -10,9 +10,10 @@ from emberlog.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
-        "tests", master="local[8]", shuffle_partitions=8, spark__driver__memory="12g", spark__ui__enabled="false"
+        "tests", master="local[8]", shuffle_partitions=8, spark__driver__memory="12g", spark__ui__enabled="false",
+        spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('shared')}",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
