@@ -8,7 +8,7 @@ least the threshold; a class is a connected component of links.
    smallest document.
 2. Documents sharing a band form buckets. Counts come first, so a large bucket is cut
    into blocks by digest and taken up as pairs of blocks; no bucket meets in one task, and
-   pairs of documents are never emitted. Equal buckets of different bands are one unit.
+   pairs of documents are never emitted. Buckets with the same smallest document are one group.
 3. Units compare sketches: the number of ones in the XOR of two odd sketches tells how many
    samples differ, most precisely at high similarity. Pairs within ``CUT`` join candidates.
 4. Components of candidates are cut into pairs of blocks again, with whole texts. There all
@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from emberlog.durable import settle
 from emberlog.llm.base import extend, query, table
 from emberlog.llm.components import components
+from emberlog.llm.prefilter import possible
 from emberlog.llm.shingling import lots, mix, shingle_sets
 
 PERCENT = 85
 BANDS, ROWS = 40, 5
 BITS = 1024
 CUT = 118  # ones in the XOR; 56 +- 9 at similarity 0.85
-BLOCK = 128  # documents of one block; a unit holds two blocks at most
+BLOCK = 256  # documents of one block; a unit holds two blocks at most
 
 
 def _seeds():
@@ -143,12 +144,12 @@ def block_pairs(members, group, size, block):
 def candidate_links(sketches):
     """Spanning links (a, b) of documents whose sketches are close, within shared bands."""
     banded = sketches.select("id", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
-    members = block_pairs(banded.join(full, "band"), "band", "size", BLOCK)
-    # equal lists met in several bands are one unit
-    units = members.groupBy("unit").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)
-    units = units.groupBy(F.xxhash64("ids").alias("unit")).agg(F.first("ids").alias("ids"))
-    rows = units.select("unit", F.explode("ids").alias("id")).join(sketches.select("id", "n", "sketch"), "id")
+    full = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("leader")).filter("size > 1")
+    # buckets of different bands with the same smallest document are taken together
+    members = settle(banded.join(full.drop("size"), "band").select("leader", "id").distinct())
+    sizes = members.groupBy("leader").agg(F.count("*").alias("size"))
+    units = block_pairs(members.join(sizes, "leader"), "leader", "size", BLOCK).select("unit", "id")
+    rows = units.join(sketches.select("id", "n", "sketch"), "id")
     rows = rows.repartition("unit").sortWithinPartitions("unit", "id")
     schema = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
 
@@ -191,8 +192,8 @@ def shared(hashes, bounds, columns=8192):
 def confirmed_links(candidates, docs, id="doc_id", text="text", percent=PERCENT):
     """Spanning links (a, b) between documents whose full sets reach the threshold."""
     sizes = candidates.groupBy("root").agg(F.count("*").alias("size"))
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("_text"))
-    rows = candidates.join(sizes, "root").select(F.col("node").alias("id"), "root", "size").join(texts, "id")
+    texts = possible(docs.select(F.col(id).alias("id"), F.col(text).alias("_text")), "id", candidates, "node")
+    rows = candidates.join(sizes, "root").select(F.col("node").alias("id"), "root", "size").hint("merge").join(texts, "id")
     rows = block_pairs(rows, "root", "size", BLOCK).select("unit", "id", "_text")
     rows = rows.repartition("unit").sortWithinPartitions("unit", "id")
     schema = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).schema
@@ -231,8 +232,8 @@ def near_duplicate_classes(docs, id="doc_id", text="text", percent=PERCENT):
 def near_deduplicate(docs, id="doc_id", text="text", percent=PERCENT):
     """``docs`` with one document of each class, the one of smallest id."""
     classes = near_duplicate_classes(docs, id, text, percent)
-    keep = settle(classes.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias("_keep")).distinct())
-    return docs.join(keep, docs[id] == F.col("_keep"), "left_semi")
+    keep = settle(classes.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_keep")).distinct())
+    return docs.join(keep.hint("merge"), docs[id].eqNullSafe(F.col("_keep")), "left_semi")  # ids grow with the documents
 
 
 @query("op9_minhash_near_dedup")
