@@ -77,6 +77,18 @@ def _(v):
     return out.select("log_id", F.size("a").alias("width"), F.round(tail, 4).alias("tail"))
 
 
+@check("emb8_scaled_variant", "vecs", f"""
+WITH {DOUBLES}, f AS (SELECT avg(vec[1]) AS m, stddev_samp(vec[1]) AS s, avg(sqrt(list_dot_product(vec, vec))) AS nm,
+  stddev_samp(sqrt(list_dot_product(vec, vec))) AS ns FROM v)
+SELECT log_id, 65 AS width, round((vec[1] - m) / s, 5) AS first, round((sqrt(list_dot_product(vec, vec)) - nm) / ns, 5) AS norm FROM v, f""")
+def _(v):
+    from pyspark.ml.functions import vector_to_array
+
+    df = E.add_vector_features(v.vecs)
+    out = E.assemble_variant(df, "scaled", {"rolling": ["emb_magnitude"]}).withColumn("a", vector_to_array("features"))
+    return out.select("log_id", F.size("a").alias("width"), F.round(F.get("a", F.lit(0)), 5).alias("first"), F.round(F.get("a", F.lit(64)), 5).alias("norm"))
+
+
 def split(v):
     """Three quarters of every class train, the rest is held out."""
     parts = stratified_split(two_classes(v), 0.75)
@@ -108,9 +120,8 @@ for _name, (_kind, _params) in QUICK.items():
 WITH {DOUBLES}, b AS (SELECT CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, i, vec[i] AS x FROM v, range(1, 65) t(i))
 SELECT label, (i - 1)::INT AS idx, round(avg(x), 5) AS mean, round(var_pop(x), 5) AS variance FROM b GROUP BY label, i""")
 def _(v):
-    model = M.build_pipeline("nb").fit(M.prepare(two_classes(v))).stages[-1]
     # figures of the fitted model, for features scaled by the pipeline; brought back to raw scale
-    scaler = M.build_pipeline("nb").fit(M.prepare(two_classes(v))).stages[0]
+    scaler, model = M.build_pipeline("nb").fit(M.prepare(two_classes(v))).stages
     mean, std = scaler.mean.toArray(), scaler.std.toArray()
     theta, sigma = model.theta.toArray(), model.sigma.toArray()
     rows = [(int(c), i, float(theta[c, i] * std[i] + mean[i]), float(sigma[c, i] * std[i] ** 2)) for c in range(2) for i in range(64)]
@@ -140,10 +151,17 @@ def _(v):
     return M.detect_by_error(rest, held).select("log_id", "label", "error", "p")
 
 
+def text_parts(v):
+    """Four fifths of every class to fit on, the rest to score."""
+    parts = stratified_split(v.texts, 0.8)
+    return parts.filter("part = 'train'").drop("part"), parts.filter("part = 'test'").drop("part")
+
+
 @check("mod13_text_classifier")
 def _(v):
-    model = M.train_text(v.texts, vocabulary=5000)
-    return M.score_text(model, v.texts).select("log_id", "label", "p", F.get("probabilities", F.lit(1)).alias("score"))
+    rest, held = text_parts(v)
+    model = M.train_text(rest)
+    return M.score_text(model, held).select("log_id", "label", "p", F.get("probabilities", F.lit(1)).alias("score"))
 
 
 @check("mod14_leave_one_source_out")
@@ -159,8 +177,9 @@ def _(v):
 
 @check("sc1_batch_scoring")
 def _(v):
-    model = M.train_text(v.texts, vocabulary=5000)
-    ready = v.texts.withColumn("text", F.col("content"))
+    rest, held = text_parts(v)
+    model = M.train_text(rest)
+    ready = held.withColumn("text", F.col("content"))
     return SC.score(ready, model, "text").select("log_id", "source_type", "predicted_class", "predicted_class_name", "confidence", "error")
 
 

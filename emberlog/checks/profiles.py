@@ -50,14 +50,19 @@ def _(v):
 @check("ag4_class_availability", "texts", """
 WITH s AS (SELECT DISTINCT source, label FROM texts), k AS (SELECT unnest([0, 1, 2]) AS label),
 a AS (SELECT count(DISTINCT source) AS n_all FROM s),
-h AS (SELECT k.label, count(s.source) AS n, coalesce(string_agg(s.source, ',' ORDER BY s.source), '') AS sources
+h AS (SELECT k.label, count(s.source) AS n
   FROM k LEFT JOIN s ON k.label = s.label GROUP BY k.label)
-SELECT label, n AS n_sources, round(n * 100.0 / n_all, 6)::DOUBLE AS coverage, sources,
+SELECT label, n AS n_sources, round(n * 100.0 / n_all, 6)::DOUBLE AS coverage,
   CASE WHEN n * 100.0 / n_all < 50 THEN 1 ELSE 0 END AS low, CASE WHEN n < n_all * 0.3 THEN 1 ELSE 0 END AS rare,
   CASE WHEN n = 0 THEN 1 ELSE 0 END AS missing FROM h, a""")
 def _(v):
     out = P.class_availability(v.texts, classes=(0, 1, 2))
-    return out.withColumns({"coverage": r6("coverage"), "sources": F.array_join("sources", ",")})
+    return out.withColumn("coverage", r6("coverage"))
+
+
+@check("ag4_class_sources", "texts", "SELECT source, label, count(*) AS n FROM texts GROUP BY source, label")
+def _(v):
+    return P.class_sources(v.texts).select("source", "label", "n")
 
 
 @check("ag5_minority_classes", "texts", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -20,18 +20,32 @@ SPARSE = 0.01
 ROLLING = ("mean_dist", "avg_std", "min_dist", "max_dist", "median_dist", "is_outlier", "cosine_mean")
 
 
-def _stats(past, own, others):
-    """Seven figures of one row against its window."""
-    mean = past.mean(0)
-    to_mean = float(np.linalg.norm(own - mean))
-    low = high = mid = outlier = 0.0
-    if len(past) > 1:
-        d = np.linalg.norm(others - own, axis=1)
-        low, high = float(d.min()), float(d.max())
-        q25, mid, q75 = (float(x) for x in np.percentile(d, [25, 50, 75]))
-        outlier = float(to_mean > q75 + 1.5 * (q75 - q25))
-    cosine = float(own @ mean / (np.linalg.norm(own) * np.linalg.norm(mean) + 1e-8))
-    return to_mean, float(past.std(0).mean()), low, high, mid, outlier, cosine
+SQUARES = 256  # rows whose windows are held at once
+
+
+def _window_stats(m, at, w, back, exclude_self):
+    """Seven figures of the rows ``at`` of a matrix against the window of ``w`` rows before each.
+
+    All windows of equal length are one strided view; the few short ones at the start come one length at a time.
+    """
+    out = np.zeros((len(at), len(ROLLING)))
+    length = np.minimum(at + 1, w + 1 - back)
+    for n in np.unique(length):
+        same = np.flatnonzero(length == n)
+        views = np.lib.stride_tricks.sliding_window_view(m, n, axis=0)  # (start, component, place)
+        for part in np.array_split(same, -(-len(same) // SQUARES)):
+            past, own = views[at[part] - n + 1].transpose(0, 2, 1), m[at[part]]
+            mean = past.mean(1)
+            to_mean = np.linalg.norm(own - mean, axis=1)
+            out[part, 0], out[part, 1] = to_mean, past.std(1).mean(1)
+            if n > 1:
+                d = np.linalg.norm((past[:, :-1] if exclude_self else past) - own[:, None], axis=2)
+                q25, mid, q75 = np.percentile(d, [25, 50, 75], axis=1)
+                out[part, 2], out[part, 3], out[part, 4] = d.min(1), d.max(1), mid
+                out[part, 5] = to_mean > q75 + 1.5 * (q75 - q25)
+            dot = np.einsum("ij,ij->i", own, mean)
+            out[part, 6] = dot / (np.linalg.norm(own, axis=1) * np.linalg.norm(mean, axis=1) + 1e-8)
+    return out
 
 
 def rolling_embedding_stats(df, windows=WINDOWS, exclude_self=False, frame="batch", by="source", order=("log_id",),
@@ -54,15 +68,11 @@ def rolling_embedding_stats(df, windows=WINDOWS, exclude_self=False, frame="batc
         pdf = pdf.sort_values("seq")
         m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
         own, keys = pdf["_own"].to_numpy(), pdf[key].to_numpy()
-        rows = []
-        for i in np.flatnonzero(own):
-            figures = []
-            for w in windows:
-                past = m[max(0, i - w + back): i + 1]
-                others = past[:-1] if exclude_self else past
-                figures += _stats(past, m[i], others)
-            rows.append((keys[i], *figures))
-        return pd.DataFrame(rows, columns=[key, *names])
+        at = np.flatnonzero(own)
+        figures = np.concatenate([_window_stats(m, at, w, back, exclude_self) for w in windows], axis=1)
+        out = pd.DataFrame(figures, columns=names)
+        out.insert(0, key, keys[at])
+        return out
 
     return cut.groupBy(by, "_chunk").applyInPandas(run, schema)
 
@@ -187,11 +197,12 @@ def fit_width(vec, n=200):
     return F.slice(F.concat(v, zero), 1, n)
 
 
-def assemble_variant(df, name, groups, vec="vec", out="features", selected=None):
+def assemble_variant(df, name, groups, vec="vec", out="features", selected=None, train=None):
     """Feature vector of a named variant from groups of columns; repeated columns enter once.
 
     ``groups`` maps statistical, sentence, template, anomaly, complexity, temporal,
-    stat_numbers, rolling and time to column lists.
+    stat_numbers, rolling and time to column lists. ``scaled`` is the full variant, scaled by
+    the rows for which the condition ``train`` holds (all by default).
     """
     columns = variant_columns(name, groups, selected)
     work = df
@@ -199,6 +210,10 @@ def assemble_variant(df, name, groups, vec="vec", out="features", selected=None)
         work = df.withColumn("_vec", array_to_vector(F.transform(F.col(vec), lambda x: x.cast("double"))))
         columns = ["_vec" if c == "embedding" else c for c in columns]
     made = VectorAssembler(inputCols=columns, outputCol=out).transform(work)
+    if name == "scaled":
+        scaler = StandardScaler(inputCol=out, outputCol="_scaled", withMean=True, withStd=True)
+        fitted = scaler.fit(made if train is None else made.filter(train))
+        made = fitted.transform(made).drop(out).withColumnRenamed("_scaled", out)
     return made.drop("_vec")
 
 

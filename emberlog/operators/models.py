@@ -7,20 +7,20 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import CountVectorizer, IDF, NGram, PCA, RegexTokenizer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, NGram, PCA, RegexTokenizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from emberlog.durable import settle
+from emberlog.durable import fresh_path, settle
 from emberlog.functions.text import normalize_label_text
 from emberlog.operators import resample
 from emberlog.operators.evaluate import auroc, metrics, tune_percentile
-from emberlog.operators.sampling import SEED, add_class_weight, balanced_bags, fold_count, kfold, stratified_split
+from emberlog.operators.sampling import SEED, add_class_weight, balanced_bags, fold_count, kfold, stratified_split, weighted_resample
 
 # The parameter grids. C of the linear models is 1 / regParam; tree depth
 # is at most 30 in Spark.
@@ -30,7 +30,7 @@ GRIDS = {
     "gbt": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 5]},
     "svc": {"regParam": [1.0, 0.1]},
     "dt": {"maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 5]},
-    "nb": {"smoothing": [1e-9, 1e-8, 1e-7]},
+    "nb": {},  # smoothing has no effect on Spark's Gaussian model
     "mlp": {},
 }
 FIRST = {
@@ -39,13 +39,15 @@ FIRST = {
     "gbt": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},
     "svc": {"regParam": 0.1, "maxIter": 100},
     "dt": {"maxDepth": 10},
-    "nb": {"smoothing": 1e-9},
+    "nb": {},
     "mlp": {"hidden": [512, 256, 128], "maxIter": 100},
 }
 UNSCALED = {"rf", "gbt", "dt", "balanced_bagging", "balanced_rf", "easy_ensemble"}
 NO_WEIGHT = {"mlp"}
-# Members of the balanced ensembles and the model in each.
-BALANCED = {"balanced_bagging": ("gbt", 50), "balanced_rf": ("dt", 100), "easy_ensemble": ("gbt", 50)}
+# Members of the balanced ensembles and the model in each. Bagging takes boosted trees, the
+# forest single trees on drawn features, the easy ensemble boosted stumps.
+BALANCED = {"balanced_bagging": ("gbt", 50, {}), "balanced_rf": ("rf", 100, {"numTrees": 1, "featureSubsetStrategy": "sqrt"}),
+            "easy_ensemble": ("gbt", 50, {"maxDepth": 1})}
 
 
 def _estimator(name, params, weighted, width):
@@ -60,18 +62,19 @@ def _estimator(name, params, weighted, width):
         return NaiveBayes(modelType="gaussian", **common, **p)
     kinds = {"lr": LogisticRegression, "rf": RandomForestClassifier, "gbt": GBTClassifier, "svc": LinearSVC, "dt": DecisionTreeClassifier}
     if name in ("rf", "gbt", "dt"):
-        p["seed"] = SEED
+        p.setdefault("seed", SEED)
     return kinds[name](**common, **p)
 
 
-def build_pipeline(name, params=None, weighted=False, width=0):
+def feature_stage(name):
     """Trees work on raw features, the others on scaled ones."""
-    stages = []
-    if name not in UNSCALED:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
-    else:
-        stages.append(VectorAssembler(inputCols=["raw"], outputCol="features"))
-    return Pipeline(stages=[*stages, _estimator(name, params, weighted, width)])
+    if name in UNSCALED:
+        return VectorAssembler(inputCols=["raw"], outputCol="features")
+    return StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True)
+
+
+def build_pipeline(name, params=None, weighted=False, width=0):
+    return Pipeline(stages=[feature_stage(name), _estimator(name, params, weighted, width)])
 
 
 def prepare(df, vec="vec"):
@@ -102,21 +105,44 @@ def resampled(df, sampler, k, key="log_id", label="label", vec="vec"):
     return settle(own.unionByName(extra))
 
 
-def train(df, name, params=None, sampler="auto", vec="vec", key="log_id", label="label"):
-    """Fit a model on (key, label, vec) rows. Class weights are used only without a sampler."""
-    if name in BALANCED:
-        return train_balanced(df, name, params, vec=vec, key=key, label=label)
-    sizes = class_sizes(df, label)
+def training_rows(df, name, sampler="auto", vec="vec", key="log_id", label="label"):
+    """What a model of this kind is fitted on: (feature stage, rows with ``features``, weighted, width).
+
+    The scaler is fitted on the real rows; neighbours for synthetic rows are searched among
+    scaled rows. Class weights are used only without a sampler; the multi-layer model, which
+    takes none, gets rows drawn in inverse proportion to their class instead.
+    """
+    rows = df.select(key, F.col(label).alias("label"), vec).filter(F.col("label").isNotNull())
     k = 5
     if sampler == "auto":
-        sampler, k = sampler_for(sizes)
-    rows = df.select(key, F.col(label).alias("label"), vec)
-    rows = resampled(rows, sampler, k, key, "label", vec) if sampler else rows
+        sampler, k = sampler_for(class_sizes(rows))
+    if sampler is None and name in NO_WEIGHT:
+        rows = weighted_resample(rows, SEED, "label", key)
+    scaler = feature_stage(name)
+    prepared = prepare(rows, vec)
+    scaler = scaler.fit(prepared) if hasattr(scaler, "fit") else scaler
+    ready = scaler.transform(prepared)
+    if sampler:
+        flat = ready.select(key, "label", vector_to_array("features").alias(vec))
+        made = resampled(flat, sampler, k, key, "label", vec)
+        ready = made.select("label", array_to_vector(vec).alias("features"))
     weighted = sampler is None and name not in NO_WEIGHT
     if weighted:
-        rows = add_class_weight(rows)
-    width = len(df.select(vec).first()[0])
-    return build_pipeline(name, params, weighted, width).fit(prepare(rows, vec))
+        ready = add_class_weight(ready)
+    return scaler, ready, weighted, len(df.select(vec).first()[0])
+
+
+def fit_on(rows, name, params=None):
+    """Fit one parameter set on the outcome of ``training_rows``."""
+    scaler, ready, weighted, width = rows
+    return PipelineModel([scaler, _estimator(name, params, weighted, width).fit(ready)])
+
+
+def train(df, name, params=None, sampler="auto", vec="vec", key="log_id", label="label"):
+    """Fit a model on (key, label, vec) rows: scaler, then sampler, then classifier."""
+    if name in BALANCED:
+        return train_balanced(df, name, params, vec=vec, key=key, label=label)
+    return fit_on(training_rows(df, name, sampler, vec, key, label), name, params)
 
 
 class BalancedEnsemble:
@@ -140,13 +166,16 @@ class BalancedEnsemble:
 
 def train_balanced(df, name, params=None, members=None, vec="vec", key="log_id", label="label"):
     """One model per bag that under-samples the larger classes."""
-    base, default = BALANCED[name]
+    base, default, own = BALANCED[name]
     members = members or (params or {}).get("members", default)
-    rest = {k: x for k, x in (params or {}).items() if k != "members"}
-    bags = settle(balanced_bags(df.select(key, F.col(label).alias("label"), vec), members, SEED, "label", key))
+    rest = own | {k: x for k, x in (params or {}).items() if k != "members"}
+    made = balanced_bags(df.select(key, F.col(label).alias("label"), vec).filter(F.col("label").isNotNull()), members, SEED, "label", key)
+    path = fresh_path(df.sparkSession, "bags")
+    made.write.partitionBy("bag").parquet(path)  # a fit reads the files of its own bag
+    bags = df.sparkSession.read.schema(made.schema).parquet(path)
 
     def fit(i):
-        return build_pipeline(base, rest).fit(prepare(bags.filter(F.col("bag") == i), vec))
+        return build_pipeline(base, rest | {"seed": SEED + i}).fit(prepare(bags.filter(F.col("bag") == i), vec))
 
     with ThreadPoolExecutor(4) as pool:
         return BalancedEnsemble(list(pool.map(fit, range(members))))
@@ -172,16 +201,19 @@ def grid_search(df, name, grid=None, k=None, sampler="auto", vec="vec", key="log
     n_folds = k or fold_count(df, 3, label)
     options = [dict(zip(grid, values)) for values in product(*grid.values())]
 
-    def fold_score(job):
-        i, params = job
+    def fold_scores(i):
+        """Scores of all options on one fold, whose training rows are resampled once."""
         rest, held = folds.filter(F.col("fold") != i).drop("fold"), folds.filter(F.col("fold") == i).drop("fold")
-        model = train(rest, name, params, sampler, vec, key, label)
-        return metrics(predict(model, held, vec).withColumnRenamed(label, "y")).first()["f1_macro"]
+        rows = None if name in BALANCED else training_rows(rest, name, sampler, vec, key, label)
+        out = []
+        for params in options:
+            model = train(rest, name, params, sampler, vec, key, label) if rows is None else fit_on(rows, name, params)
+            out.append(metrics(predict(model, held, vec).withColumnRenamed(label, "y")).first()["f1_macro"])
+        return out
 
-    jobs = [(i, params) for params in options for i in range(n_folds)]
     with ThreadPoolExecutor(4) as pool:
-        scores = list(pool.map(fold_score, jobs))
-    means = [sum(scores[j * n_folds:(j + 1) * n_folds]) / n_folds for j in range(len(options))]
+        scores = list(pool.map(fold_scores, range(n_folds)))
+    means = [sum(s[j] for s in scores) / n_folds for j in range(len(options))]
     best = max(range(len(options)), key=lambda j: means[j])
     table = df.sparkSession.createDataFrame(
         [(name, str(o), float(m), j == best) for j, (o, m) in enumerate(zip(options, means))],
@@ -190,26 +222,43 @@ def grid_search(df, name, grid=None, k=None, sampler="auto", vec="vec", key="log
     return train(df, name, options[best], sampler, vec, key, label), table
 
 
-def run_loso(df, names, params=None, vec="vec", key="log_id", label="label", by="source", threads=4):
-    """Every model on every held-out source: (source, model, figures), all on one settled table."""
-    table = settle(df.select(key, by, F.col(label).cast("int").alias("label"), vec))
+def run_loso(df, names, params=None, sampler="auto", vec="vec", key="log_id", label="label", by="source", threads=4):
+    """Every model on every held-out source: (source, model, figures, best of its source), all on one table.
+
+    Rows are resampled inside the training side. ``final_model`` fits the winner on all sources.
+    """
+    path = fresh_path(df.sparkSession, "loso")
+    rows = df.select(key, F.col(label).cast("int").alias("label"), vec, F.col(by)).filter(F.col(label).isNotNull())
+    rows.write.partitionBy(by).parquet(path)  # a split reads the files of its sides
+    table = df.sparkSession.read.schema(rows.schema).parquet(path)
     usable = [r[by] for r in table.groupBy(by).agg(F.countDistinct("label").alias("c")).filter("c > 1").orderBy(by).collect()]
 
     def one(job):
         source, name = job
         rest, held = table.filter(F.col(by) != source), table.filter(F.col(by) == source)
-        model = train(rest, name, (params or {}).get(name), None, vec, key, "label")
+        model = train(rest, name, (params or {}).get(name), sampler, vec, key, "label")
         out = settle(predict(model, held, vec).withColumnRenamed("label", "y"))
         m, a = metrics(out).first(), auroc(out).first()
         return (source, name, m["n_rows"], m["f1_macro"], m["bal_acc"], m["mcc"], a["auroc"])
 
     with ThreadPoolExecutor(threads) as pool:
         rows = list(pool.map(one, [(s, n) for s in usable for n in names]))
+    top = {}
+    for r in rows:
+        top[r[0]] = max(top.get(r[0], (-1.0, "")), (r[3], r[1]))
     return df.sparkSession.createDataFrame(
-        rows, f"{by} string, model string, test_rows long, f1 double, bal_acc double, mcc double, auroc double"
+        [(*r, top[r[0]] == (r[3], r[1])) for r in rows],
+        f"{by} string, model string, test_rows long, f1 double, bal_acc double, mcc double, auroc double, best boolean",
     )
 
 
+def final_model(df, figures, params=None, sampler="auto", vec="vec", key="log_id", label="label"):
+    """(name, model) of the model that wins most held-out sources, ties by mean F1, fitted on all rows."""
+    name = figures.groupBy("model").agg(F.sum(F.col("best").cast("int")).alias("wins"), F.avg("f1").alias("f1")).orderBy(
+        F.desc("wins"), F.desc("f1"), "model").first()["model"]
+    return name, train(df, name, (params or {}).get(name), sampler, vec, key, label)
+
+
 def reconstruction_error(train_rows, rows, k=10, vec="vec", label="label"):
     """PCA on normal rows; the error is the squared distance of a row to its projection."""
     normal = prepare(train_rows.filter(F.col(label) == 0), vec)
@@ -227,15 +276,15 @@ def detect_by_error(train_rows, rows, k=10, vec="vec", label="label"):
     return out.withColumn("p", F.when(F.col("error") > F.lit(bound), 1).otherwise(0))
 
 
-def text_pipeline(vocabulary=100_000, min_df=2.0, content="text"):
-    """1-3 gram TF-IDF and a weighted logistic model."""
+def text_pipeline(width=1 << 18, min_df=2, content="text"):
+    """1-3 gram TF-IDF over hashed terms and a weighted logistic model; no vocabulary is gathered."""
     tokens = RegexTokenizer(inputCol=content, outputCol="w1", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     stages = [tokens]
     for n in (2, 3):
         stages.append(NGram(n=n, inputCol="w1", outputCol=f"w{n}"))
     stages.append(_Joined())
-    stages.append(CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=vocabulary, minDF=min_df))
-    stages.append(IDF(inputCol="tf", outputCol="features"))
+    stages.append(HashingTF(inputCol="grams", outputCol="tf", numFeatures=width))
+    stages.append(IDF(inputCol="tf", outputCol="features", minDocFreq=min_df))
     stages.append(LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=200, regParam=0.01))
     return Pipeline(stages=stages)
 
@@ -246,18 +295,15 @@ def _Joined():
     return SQLTransformer(statement="SELECT *, concat(w1, w2, w3) AS grams FROM __THIS__")
 
 
-MIN_TEXTS = 100
-
-
-def train_text(df, content="content", template=None, label="label", **options):
-    """Text classifier on labelled rows; None below 100 of them."""
+def train_text(df, content="content", template=None, label="label", min_texts=2, **options):
+    """Text classifier on labelled rows; an error below ``min_texts`` of them."""
     known = df.filter(F.col(label) >= 0)
     text = normalize_label_text(content)
     if template:
         text = F.concat_ws(" ", normalize_label_text(template), text)
     rows = known.select(F.col(label).cast("int").alias("label"), text.alias("text"))
-    if rows.count() < MIN_TEXTS:
-        return None
+    if rows.limit(min_texts).count() < min_texts:
+        raise ValueError(f"a text classifier needs {min_texts} labelled rows")
     return text_pipeline(**options).fit(add_class_weight(rows))
 
 

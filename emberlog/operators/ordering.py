@@ -23,11 +23,15 @@ SLICE_BYTES = 64 << 20
 def slice_count(df):
     """Slices for a sort: one per 64 MB of the tables read, at least one per core.
 
-    The estimate of the whole plan isn't used: it multiplies the sides of joins.
+    The estimate of the whole plan isn't used: it multiplies the sides of joins. Sources
+    whose size Spark doesn't know get spark.sql.shuffle.partitions slices at least.
     """
+    spark = df.sparkSession
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return max(1, df.sparkSession.sparkContext.defaultParallelism, size // SLICE_BYTES)
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = [n for n in sizes if n < 1 << 60]
+    least = spark.sparkContext.defaultParallelism if len(known) == len(sizes) else int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return int(max(1, least, sum(known) // SLICE_BYTES))
 
 
 def literals(one_row):

@@ -52,23 +52,27 @@ def class_presence(df, classes=(0, 1), by="source", label="label"):
 
 
 def class_availability(df, classes=(0, 1), by="source", label="label"):
-    """How many sources hold each class; the list of sources is one entry per source."""
+    """How many sources hold each class. ``class_sources`` lists them as rows."""
     counts = settle(class_counts(df, (by,), label))
     n_sources = counts.select(F.countDistinct(by).alias("n_all"))
-    held = counts.groupBy("label").agg(F.count("*").alias("n_sources"), F.array_sort(F.collect_set(by)).alias("sources"))
+    held = counts.groupBy("label").agg(F.count("*").alias("n_sources"))
     grid = n_sources.withColumn("label", F.explode(F.array(*[F.lit(c) for c in classes])))
     out = attach(grid, held, ["label"])
     n = F.coalesce("n_sources", F.lit(0))
     share = n * 100.0 / F.col("n_all")
     return out.select(
         "label", n.alias("n_sources"), share.alias("coverage"),
-        F.coalesce("sources", F.array().cast("array<string>")).alias("sources"),
         F.when(share < 50, 1).otherwise(0).alias("low"),
         F.when(n < F.col("n_all") * 0.3, 1).otherwise(0).alias("rare"),
         F.when(n == 0, 1).otherwise(0).alias("missing"),
     )
 
 
+def class_sources(df, by="source", label="label"):
+    """One row per class and source that holds it, with its rows."""
+    return class_counts(df, (by,), label)
+
+
 def minority_classes(df, by="source", label="label"):
     """Classes below 5 % and below 1 % of their source; none for one-class sources."""
     counts = class_counts(df, (by,), label)

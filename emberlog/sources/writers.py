@@ -6,6 +6,8 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
+
+from emberlog.durable import settle
 from pyspark.sql.types import ArrayType, StringType
 
 
@@ -59,8 +61,19 @@ def save_predictions(scored, base_path, model_type="ml", model_name="model"):
     dimension = spark.read.parquet(path) if _exists(spark, path) else None
     new_sources(scored, dimension).write.mode("append").parquet(path)
     logs, preds = prediction_tables(scored, model_type, model_name)
-    logs.write.mode("append").partitionBy("day").parquet(f"{base_path}/entries")
-    preds.write.mode("append").partitionBy("day").parquet(f"{base_path}/predictions")
+    _append_new(logs, f"{base_path}/entries", "entry_id")
+    _append_new(preds, f"{base_path}/predictions", "prediction_id")
+
+
+def _append_new(rows, path, key):
+    """Append the rows whose key the same day of the table lacks; each key once."""
+    spark = rows.sparkSession
+    rows = rows.dropDuplicates(["day", key])
+    if _exists(spark, path):
+        held = spark.read.schema(rows.schema).parquet(path).select("day", key)
+        days = [r["day"] for r in rows.select("day").distinct().collect()]  # the days scored in this run
+        rows = settle(rows.join(held.filter(F.col("day").isin(days)), ["day", key], "left_anti"))
+    rows.write.mode("append").partitionBy("day").parquet(path)
 
 
 def progress_text(items, samples="samples"):

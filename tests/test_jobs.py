@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from emberlog.checks.base import Views
 from emberlog.functions import labels as L
 from emberlog.functions import text as X
+from emberlog.functions.timestamps import normalize_timestamps
+from emberlog.operators import joins as JN
+from emberlog.operators import sampling as SMP
+from emberlog.operators import topk as TOP
 from emberlog.operators import windows as W
 from emberlog.sources import readers, writers
 from emberlog.streaming import jobs as J
@@ -119,4 +123,51 @@ def test_prediction_store_skips_errors_and_known_sources(spark, tmp_path):
         writers.save_predictions(spark.createDataFrame(rows, schema), base)
     assert spark.read.parquet(f"{base}/sources").count() == 2
     preds = spark.read.parquet(f"{base}/predictions")
-    assert preds.count() == 2 and preds.select("prediction_id").distinct().count() == 1
+    assert preds.count() == 1 and spark.read.parquet(f"{base}/entries").count() == 1
+
+
+def test_sources_with_different_headers_and_the_readme_lines(spark, tmp_path):
+    (tmp_path / "Apache_2k_labeled.csv").write_text('LineId,Time,Level,Content\n1,Sun Dec 04 04:51:37 2005,error,lost\n')
+    (tmp_path / "HDFS_2k_labeled.csv").write_text('LineId,Date,Time,Pid,Level,Content\n7,081109,204324,148,INFO,kept message\n')
+    (tmp_path / "Mac_2k_labeled.csv").write_text('LineId,Month,Date,Time,message\n9,Jul,1,09:21:57,hello\n')
+    (tmp_path / "Odd_2k_labeled.csv").write_text('a,b\n1,2\n')
+    logs = normalize_timestamps(readers.read_sources(spark, str(tmp_path / "*_labeled.csv")), "source", default_year=2024)
+    got = {r["source"]: (r["Content"], r["timestamp_normalized"]) for r in logs.collect()}
+    assert got == {
+        "Apache_2k": ("lost", "2005-12-04 04:51:37.000"), "HDFS_2k": ("kept message", "2008-11-09 20:43:24.000"),
+        "Mac_2k": ("hello", "2024-07-01 09:21:57.000"),
+    }
+    counted = W.add_trailing_counts(logs.withColumn("log_id", F.col("LineId").cast("long")))
+    assert counted.count() == 3
+
+
+def test_streams_go_on_where_they_ended(spark, tmp_path):
+    schema = "log_id long, source string, ts timestamp"
+    rows = spark.range(40).selectExpr("id AS log_id", "'s' AS source", "timestamp_seconds(id * 10) AS ts")
+    for half in (rows.filter("log_id < 20"), rows.filter("log_id >= 20")):
+        half.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        out = J.stream_history(stream, lambda w: {"before": F.lag("log_id").over(w)}, path=str(tmp_path / "run"))
+    assert {r.log_id: r.before for r in out.collect()} == {i: i - 1 if i else None for i in range(40)}
+
+
+def test_rows_without_a_label(spark):
+    df = spark.createDataFrame([(i, "s", "m", None if i % 5 == 0 else i % 2, f"t{i % 3}") for i in range(40)],
+                               "log_id long, source string, content string, label int, template string")
+    weights = {r.label: r.weight for r in SMP.add_class_weight(df).select("label", "weight").distinct().collect()}
+    assert weights[None] is None and weights[0] == weights[1] == 1.0
+    parts = SMP.stratified_split(df).groupBy("label", "part").count().collect()
+    assert {r["label"] for r in parts} == {None, 0, 1}
+    pairs = JN.contrastive_pairs(df, augment=True).collect()
+    assert pairs and not {r["first"] for r in pairs} & {i for i in range(0, 40, 5)}
+
+
+def test_a_class_of_one_row_keeps_the_others_stratified(spark):
+    df = spark.createDataFrame([(i, 2 if i == 0 else i % 2) for i in range(101)], "log_id long, label int")
+    parts = {(r["label"], r["part"]): r["count"] for r in SMP.stratified_split(df).groupBy("label", "part").count().collect()}
+    assert parts == {(2, "train"): 1, (0, "train"): 40, (0, "test"): 10, (1, "train"): 40, (1, "test"): 10}
+
+
+def test_a_page_is_never_cut(spark):
+    with pytest.raises(ValueError):
+        TOP.page(spark.range(3).withColumn("ts", F.current_timestamp()), size=1001, key="id")
