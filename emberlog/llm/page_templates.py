@@ -59,14 +59,14 @@ def walk(page):
 
     def flush():
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            text = " ".join("".join(held).split())
             held.clear()
             if text:
                 out.append((tuple(n for n, _ in stack), aside > 0, text))
 
     for m in PIECE.finditer(page):
         if (text := m[5]) is not None:
-            held.append(text)
+            held.append(entities.unescape(text))
             continue
         if m[3] is None:
             continue

@@ -27,7 +27,7 @@ MIN_GROUP = 50  # documents below which a source falls back on its language, and
 REACH = 3  # widths of the middle half between it and a fence
 
 #: measure -> (has a lower fence, least distance of a fence from the middle half)
-MEASURES = {"word_len": (True, 100), "symbol_share": (False, 100), "dup_line_share": (False, 300)}
+MEASURES = {"word_len": (True, 150), "symbol_share": (False, 100), "dup_line_share": (False, 600)}
 
 
 def with_features(docs, text="text"):
@@ -180,8 +180,8 @@ c AS (SELECT s.lang, s.source, s.m,
     CASE WHEN s.size >= 50 THEN s.q1 WHEN l.size >= 50 THEN l.q1 ELSE a.q1 END AS q1,
     CASE WHEN s.size >= 50 THEN s.q3 WHEN l.size >= 50 THEN l.q3 ELSE a.q3 END AS q3
   FROM q s JOIN q l ON l.k = 'lang' AND l.lang IS NOT DISTINCT FROM s.lang AND l.m = s.m JOIN q a ON a.k = 'all' AND a.m = s.m WHERE s.k = 'source'),
-e AS (SELECT lang, source, max(q1 - greatest(3 * (q3 - q1), 100)) FILTER (m = 'm1') AS lo1, max(q3 + greatest(3 * (q3 - q1), 100)) FILTER (m = 'm1') AS hi1,
-    max(q3 + greatest(3 * (q3 - q1), 100)) FILTER (m = 'm2') AS hi2, max(q3 + greatest(3 * (q3 - q1), 300)) FILTER (m = 'm3') AS hi3 FROM c GROUP BY ALL)
+e AS (SELECT lang, source, max(q1 - greatest(3 * (q3 - q1), 150)) FILTER (m = 'm1') AS lo1, max(q3 + greatest(3 * (q3 - q1), 150)) FILTER (m = 'm1') AS hi1,
+    max(q3 + greatest(3 * (q3 - q1), 100)) FILTER (m = 'm2') AS hi2, max(q3 + greatest(3 * (q3 - q1), 600)) FILTER (m = 'm3') AS hi3 FROM c GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(m1 >= lo1 AND m1 <= hi1 AND m2 <= hi2 AND m3 <= hi3, false) AS kept
 FROM b LEFT JOIN e ON b.lang IS NOT DISTINCT FROM e.lang AND b.source IS NOT DISTINCT FROM e.source
