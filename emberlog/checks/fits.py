@@ -80,13 +80,13 @@ def _(v):
 @check("emb8_scaled_variant", "vecs", f"""
 WITH {DOUBLES}, f AS (SELECT avg(vec[1]) AS m, stddev_samp(vec[1]) AS s, avg(sqrt(list_dot_product(vec, vec))) AS nm,
   stddev_samp(sqrt(list_dot_product(vec, vec))) AS ns FROM v)
-SELECT log_id, 65 AS width, round((vec[1] - m) / s, 5) AS first, round((sqrt(list_dot_product(vec, vec)) - nm) / ns, 5) AS norm FROM v, f""")
+SELECT log_id, 65 AS width, round((vec[1] - m) / s, 5) AS first, round((sqrt(list_dot_product(vec, vec)) - nm) / ns, 2) AS norm FROM v, f""")
 def _(v):
     from pyspark.ml.functions import vector_to_array
 
     df = E.add_vector_features(v.vecs)
     out = E.assemble_variant(df, "scaled", {"rolling": ["emb_magnitude"]}).withColumn("a", vector_to_array("features"))
-    return out.select("log_id", F.size("a").alias("width"), F.round(F.get("a", F.lit(0)), 5).alias("first"), F.round(F.get("a", F.lit(64)), 5).alias("norm"))
+    return out.select("log_id", F.size("a").alias("width"), F.round(F.get("a", F.lit(0)), 5).alias("first"), F.round(F.get("a", F.lit(64)), 2).alias("norm"))
 
 
 def split(v):

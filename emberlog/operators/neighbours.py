@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from emberlog.durable import settle
 from emberlog.operators.draws import draw
 
-CELL = 1024  # base rows a cell holds on average
-PIVOTS = 256
+CELL = 1024  # base rows a cell holds on average, as long as pivots are few
 BLOCK = 4096  # rows of one side that a task sees at a time
 EPS = 1e-9
 
@@ -64,8 +63,9 @@ def knn_join(queries, base, k, vec="vec", key="log_id", group=None, normalize=Fa
     b = unit(base).select(grp.alias("grp"), F.col(key).cast("long").alias("b_id"), F.col("_v").alias("b_vec"))
     q = unit(queries).select(F.col(key).cast("long").alias("q_id"), F.col("_v").alias("q_vec"))
 
-    # a bounded number of pivots, drawn by digest
-    n_pivots = n_pivots or max(1, min(PIVOTS, b.count() // CELL))
+    # pivots grow with the root of the base: 40,000 of them for 100 million rows
+    size = b.count()
+    n_pivots = n_pivots or max(1, min(size // CELL, int(4 * size**0.5)))
     sample = b.select("b_id", "b_vec").orderBy(draw("b_id", seed=7), "b_id").limit(n_pivots).collect()
     if not sample:
         return _empty(queries.sparkSession, b, group)
@@ -101,24 +101,22 @@ def knn_join(queries, base, k, vec="vec", key="log_id", group=None, normalize=Fa
                     [d[:, [i]] + np.asarray(first)[None, :] for i, (_, _, _, first) in enumerate(rows)], axis=1
                 )
                 reach = np.partition(sums, seen - 1, axis=1)[:, seen - 1] if sums.shape[1] >= seen else np.full(len(m), np.inf)
-                for i, (cell, n, radius, _) in enumerate(rows):
-                    go = np.flatnonzero(d[:, i] - radius <= reach + EPS)
-                    for part in range(-(-n // block)):
-                        if len(go):
-                            yield pd.DataFrame({
-                                "grp": [g] * len(go), "cell": np.int32(cell), "part": np.int32(part), "lot": lots[go],
-                                "q_id": pdf["q_id"].to_numpy()[go], "q_vec": [pdf["q_vec"].iloc[j] for j in go],
-                            })
+                radius = np.array([r for _, _, r, _ in rows])
+                go, at = np.nonzero(d - radius[None, :] <= reach[:, None] + EPS)
+                if len(go):
+                    yield pd.DataFrame({
+                        "grp": [g] * len(go), "cell": np.array(index, dtype="int32")[at],
+                        "parts": np.array([-(-n // block) for _, n, _, _ in rows], dtype="int32")[at],
+                        "lot": lots[go], "q_id": pdf["q_id"].to_numpy()[go],
+                    })
 
     g_type = b.schema["grp"].dataType.simpleString()
-    routed = q.mapInPandas(route, f"grp {g_type}, cell int, part int, lot int, q_id long, q_vec array<double>")
-
-    sizes = F.create_map(*[F.lit(x) for g, rows in table.items() for c, n, *_ in rows
-                           for x in (f"{g}|{c}", -(-n // block))])
-    parts = sizes[F.concat_ws("|", F.col("grp").cast("string"), F.col("cell").cast("string"))]
-    blocks = cells.withColumn("part", F.pmod(draw("b_id", seed=11), parts).cast("int")).withColumn(
-        "lot", F.explode(F.sequence(F.lit(0), F.lit(n_lots - 1)))
-    ).select("grp", "cell", "part", "lot", "b_id", "b_vec")
+    # which query goes to which cell, without vectors; a block then goes only to the lots that need its cell
+    routes = settle(q.mapInPandas(route, f"grp {g_type}, cell int, parts int, lot int, q_id long"))
+    routed = routes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(q, "q_id")
+    wanted = routes.select(*[F.col(c).alias(f"_{c}") for c in ("grp", "cell", "parts", "lot")]).distinct()
+    blocks = cells.join(wanted, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("cell") == F.col("_cell"))).select(
+        "grp", "cell", F.pmod(draw("b_id", seed=11), F.col("_parts")).cast("int").alias("part"), F.col("_lot").alias("lot"), "b_id", "b_vec")
 
     def nearest(left, right):
         cols = ["grp", "q_id", "b_id", "dist"]

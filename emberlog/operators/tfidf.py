@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
@@ -36,7 +37,11 @@ def term_counts(df, content="content", key="log_id", ngrams=(1, 3)):
 def idf_table(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_terms=None):
     """term, df, idf = ln((1+n)/(1+df)) + 1; the most frequent ``max_terms`` if given."""
     n = df.count()
-    counts = term_counts(df, content, key, ngrams).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    if max_terms:
+        counts = term_counts(df, content, key, ngrams).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    else:  # a term once per row, counted before the one shuffle by term
+        once = df.select(F.explode(F.array_distinct(terms(content, ngrams))).alias("term"))
+        counts = once.groupBy("term").agg(F.count("*").alias("df"))
     kept = counts.filter(F.col("df") >= min_df)
     if max_terms:
         kept = kept.orderBy(F.col("tf").desc(), "term").limit(max_terms)
@@ -47,5 +52,5 @@ def tfidf(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_term
     """(key, term, weight) rows of unit length per document."""
     idf = settle(idf if idf is not None else idf_table(df, content, key, ngrams, min_df, max_terms))
     raw = term_counts(df, content, key, ngrams).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # the terms of one document
+    return raw.select(key, "term", (F.col("w") / norm).alias("weight"))

@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
-from emberlog.operators.ordering import attach, over_rows, with_sequence
+from emberlog.operators.ordering import CHUNK, attach, over_rows, with_halo, with_sequence
 
 # Trailing spans in seconds.
 SPANS = {"1min": 60, "5min": 300, "15min": 900, "1H": 3600, "6H": 21600}
@@ -43,12 +43,16 @@ def add_gap_flags(df, gap="time_diff_seconds"):
 
 
 def add_rolling_stats(df, n=10, by="source", ts="ts", content="content", log_id="log_id"):
-    """Mean and sample std of content length and time gap over the last n rows."""
-    ranked = with_sequence(df, [by], [ts, log_id]).withColumn("content_length", F.length(content))
-    gapped = lambda w: {"time_diff_seconds": _gap(w, ts)}
+    """Mean and sample std of content length and time gap over the last n rows.
 
-    # the gap itself looks one row back, so it is made before the frames that use it
-    with_gap = over_rows(ranked, [by], 1, gapped)
+    With ``content=None`` the rows bring ``content_length``.
+    """
+    measured = df if content is None else df.withColumn("content_length", F.length(content))
+    ranked = with_sequence(measured, [by], [ts, log_id])
+    # one halo of n rows holds the frames and the row before them, from which the first gap comes
+    cut = with_halo(ranked, n)
+    ordered = Window.partitionBy(by, "_chunk").orderBy("seq")
+    cut = cut.withColumn("time_diff_seconds", _gap(ordered, ts))
 
     def frames(w):
         last = w.rowsBetween(1 - n, 0)
@@ -58,7 +62,8 @@ def add_rolling_stats(df, n=10, by="source", ts="ts", content="content", log_id=
             made[f"{label}_std_{n}"] = F.coalesce(F.stddev_samp(source).over(last), F.lit(0.0))
         return made
 
-    return over_rows(with_gap, [by], n - 1, frames).drop("seq")
+    made = cut.select("*", *[c.alias(name) for name, c in frames(ordered).items()])
+    return made.filter("_own").drop("_chunk", "_own", "seq")
 
 
 def _per_second(df, by, ts, measures):
@@ -89,9 +94,15 @@ def trailing_sums(df, measures, spans=SPANS, by="source", ts="ts"):
     return cut.select("*", *made).filter("_own").drop("_day", "_own", *measures)
 
 
+def _attach_timed(df, ts, name, value, stats, by):
+    """Join figures per time; rows without a timestamp go round the join, where they would share one key."""
+    timed = attach(df.filter(F.col(ts).isNotNull()).withColumn(name, value), stats, [by, name]).drop(name)
+    return timed.unionByName(df.filter(F.col(ts).isNull()), allowMissingColumns=True)
+
+
 def add_trailing_counts(df, spans=SPANS, by="source", ts="ts"):
     stats = settle(trailing_sums(df, {"log_count": F.count("*")}, spans, by, ts))
-    out = attach(df.withColumn("_sec", F.unix_seconds(ts)), stats, [by, "_sec"]).drop("_sec")
+    out = _attach_timed(df, ts, "_sec", F.unix_seconds(ts), stats, by)
     return out.na.fill(0, [f"log_count_{s}" for s in spans])
 
 
@@ -99,7 +110,7 @@ def add_error_density(df, flags, spans=SPANS, by="source", ts="ts"):
     """Sum of all has_* flags over the trailing spans; flags are added up in the row first."""
     total = sum((F.col(f) for f in flags[1:]), F.col(flags[0]))
     stats = settle(trailing_sums(df, {"error_density": F.sum(total)}, spans, by, ts))
-    return attach(df.withColumn("_sec", F.unix_seconds(ts)), stats, [by, "_sec"]).drop("_sec")
+    return _attach_timed(df, ts, "_sec", F.unix_seconds(ts), stats, by)
 
 
 def add_minute_count(df, by="source", ts="ts", name="logs_last_10"):
@@ -108,7 +119,7 @@ def add_minute_count(df, by="source", ts="ts", name="logs_last_10"):
     stats = settle(
         df.filter(F.col(ts).isNotNull()).groupBy(by, minute.alias("_minute")).agg(F.count("*").alias(name))
     )
-    return attach(df.withColumn("_minute", minute), stats, [by, "_minute"]).drop("_minute")
+    return _attach_timed(df, ts, "_minute", minute, stats, by)
 
 
 def add_hour_frequency(df, by="source", ts="ts", name="hour_frequency"):
@@ -159,8 +170,13 @@ def next_in_group(df, group, order="log_id", by="source"):
 
 def sessionize(df, gap=300, by="source", ts="ts", log_id="log_id"):
     """Sessions split where the gap exceeds ``gap`` seconds; numbers start at 0 in each source."""
-    from emberlog.operators.ordering import running_totals
-
-    gapped = add_time_gap(df, by, ts, log_id)
-    starts = {"session": F.when(F.col("time_diff_seconds") > gap, 1).otherwise(0)}
-    return running_totals(gapped, [by], [ts, log_id], starts)
+    gapped = over_rows(with_sequence(df, [by], [ts, log_id]), [by], 1, lambda w: {"time_diff_seconds": _gap(w, ts)})
+    chunk = F.floor(F.col("seq") / F.lit(CHUNK)).cast("long")
+    flagged = settle(gapped.withColumns({"_chunk": chunk, "_start": F.when(F.col("time_diff_seconds") > gap, 1).otherwise(0)}))
+    # rows are summed within their chunk; one total per chunk is carried on
+    totals = flagged.groupBy(by, "_chunk").agg(F.sum("_start").alias("_sum"))
+    earlier = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = settle(totals.select(by, "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_carried")))
+    within = Window.partitionBy(by, "_chunk").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = attach(flagged.withColumn("_within", F.sum("_start").over(within)), carried, [by, "_chunk"])
+    return out.withColumn("session", F.col("_within") + F.col("_carried")).drop("_chunk", "_start", "_within", "_carried", "seq")
