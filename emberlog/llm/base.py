@@ -31,6 +31,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df, rows=2000):
+    """Limit the Arrow batches of the session, so that a Python worker holds few whole texts at a time."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+
+
 def extend(schema, ddl):
     """``schema`` with the fields of a DDL string behind its own."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

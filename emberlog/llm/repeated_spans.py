@@ -5,10 +5,12 @@ in the same one) is removed; overlaps count, all strings are judged on the input
 
 1. Each window of 100 bytes has an anchor, the least hash of its 24-byte strings. Equal
    windows have equal anchors, so only windows whose anchor occurs twice can repeat. Runs of
-   windows with one anchor are found per lot of text; a lot sends one row per anchor, so a
-   passage of many copies never meets in one task.
+   windows with one anchor are found per lot of text, with a digest of all their bytes. A lot
+   sends one row per different run, and no more than ``AHEAD`` of one anchor to the same
+   place, so neither copies of a passage nor its many contexts meet in one task. A run whose
+   digest occurred earlier repeats as a whole; one whose anchor has no other run is unique.
 2. The text of the runs left goes to units by anchor. An anchor with more than ``UNIT`` runs
-   is salted over several units. Equal runs of a lot collapse to the first on the way.
+   is salted over several units.
 3. A task concatenates whole units into blocks of bounded size and orders their windows with
    ``suffix_blocks``. Equal windows are neighbours; all but the earliest are repeats.
 4. Windows of salted units that were earliest in their unit meet once more by fingerprint,
@@ -16,7 +18,7 @@ in the same one) is removed; overlaps count, all strings are judged on the input
 
 Nothing is dropped or sampled: each window is compared with every other that can equal it.
 
-A null or empty text has no bytes. A row with a null id takes no part and keeps its text. ``id`` is the key: rows that repeat id and text have the
+Ids are whole numbers. A null or empty text has no bytes. A row with a null id takes no part and keeps its text. ``id`` is the key: rows that repeat id and text have the
 same place, so neither is earlier than the other and both get the same result.
 """
 
@@ -30,8 +32,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
-from emberlog.llm.base import extend, query, table
-from emberlog.llm.shingling import lots, mix
+from emberlog.llm.base import extend, query, small_batches, table
+from emberlog.llm.shingling import BASE, lots, mix, powers
 from emberlog.llm.suffix_blocks import PAD, suffix_groups, words
 
 WIDTH = 100
@@ -39,8 +41,10 @@ GRAM = 24
 REACH = WIDTH - GRAM + 1  # grams in a window
 LONGEST = 256  # windows of a run; longer ones are cut
 UNIT = 2048  # runs of a unit
-LOT = 4 << 20  # characters of a lot
-BLOCK = 2 << 20  # bytes of text ordered at once
+LOT = 1 << 20  # characters of a lot; a task holds about 100 bytes for each
+AHEAD = 16  # runs of one anchor that a lot sends by the anchor; the others go by their digest
+COUNT = (1 << 20) - 1
+BLOCK = 1 << 20  # bytes of text ordered at once
 
 
 def grams(text):
@@ -62,10 +66,10 @@ def sliding(values, best):
 
 
 def runs(texts):
-    """(anchor, text number, first window, windows, anchor occurs twice in one run) of all runs of byte strings."""
+    """All runs of byte strings: (anchor, text number, first window, windows, anchor occurs twice in one run, digest)."""
     long = [i for i, t in enumerate(texts) if len(t) >= WIDTH]
     if not long:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool, np.uint64))
     joined = np.frombuffer(b"".join([texts[i] for i in long]), np.uint8)
     size = np.array([len(texts[i]) for i in long])
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -88,7 +92,19 @@ def runs(texts):
     nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     head, count = np.repeat(head, pieces), np.repeat(count, pieces)
     windows = np.minimum(count - nth * LONGEST, LONGEST)
-    return value[head], np.array(long)[owner[head]], at[head] - start[owner[head]] + nth * LONGEST, windows, np.isin(value[head], twice)
+    first = at[head] + nth * LONGEST
+    digest = span_digests(joined, first, windows + WIDTH - 1)
+    return value[head], np.array(long)[owner[head]], first - start[owner[head]], windows, np.isin(value[head], twice), digest
+
+
+def span_digests(text, start, length):
+    """64-bit digests of byte spans, from prefix sums of mixed words of eight bytes."""
+    eight = mix(words(np.concatenate((text, np.zeros(7, np.uint8)))) + np.uint64(1))
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(eight * powers(len(text)), out=sums[1:])
+    inverse = powers(len(text) + 1, pow(BASE, -1, 1 << 64))
+    inside = length - 7  # words that lie within the span
+    return mix((sums[start + inside] - sums[start]) * inverse[start] + length.astype(np.uint64))
 
 
 def _bytes(texts):
@@ -96,75 +112,86 @@ def _bytes(texts):
 
 
 def repeated_runs(texts):
-    """Runs whose anchor occurs more than once: ``id``, ``at``, ``n``, ``anchor``, ``total`` (0: not known here)."""
-    schema = extend(texts.select("id").schema, "at int, n int, anchor long, deal long, here int")
+    """Runs that may hold repeats: ``id``, ``at``, ``n``, ``whole`` (repeats as a whole), ``total`` (runs of its anchor, if many).
+
+    Runs are dropped here only if no other window can equal one of theirs.
+    """
+    schema = extend(texts.select("id").schema, "place long, digest long, deal long")
 
     def run(batches):
-        for lot, held in lots(batches, "text", LOT):
-            anchor, text, at, n, again = runs(_bytes(held))
+        for lot, held in lots(batches, "_text", LOT):
+            anchor, text, at, n, again, digest = runs(_bytes(held))
             if not len(anchor):
                 continue
-            _, first, which, here = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
-            count, lead = np.zeros(len(anchor), np.int32), np.zeros(len(anchor), bool)
-            lead[first] = True
-            count[first] = here + again[first]
-            # the first run of an anchor in this lot goes by the anchor; the others are known to repeat
-            deal = np.where(lead, anchor, mix(anchor + np.arange(len(anchor), dtype=np.uint64)))
+            # the texts of a lot come in any order of ids: the earliest of equal runs is the one sent on
+            ids = lot.column("id").to_numpy()[text]
+            order = np.lexsort((at, ids, digest, anchor))
+            a, d = anchor[order], digest[order]
+            other = np.concatenate(([True], a[1:] != a[:-1]))
+            fresh = other | np.concatenate(([True], d[1:] != d[:-1]))
+            same_place = np.zeros(len(order), bool)
+            same_place[1:] = ~fresh[1:] & (ids[order][1:] == ids[order][:-1]) & (at[order][1:] == at[order][:-1])
+            group = np.cumsum(other) - 1
+            nth = np.cumsum(fresh) - 1
+            nth -= nth[np.nonzero(other)[0]][group]  # number of the run among those of its anchor
+            here = np.bincount(group[fresh])[group] + again[order]
+            ahead = fresh & (nth < AHEAD)
+            # bits: 0 sent by the anchor, 1 a later copy of a run of this lot, 2 other runs of its anchor are known
+            kind = np.where(ahead, 0, np.where(fresh, 2, 1))
+            deal = np.where(ahead, a, np.where(fresh, mix(a ^ d), mix(a + np.arange(len(a), dtype=np.uint64))))
+            place = (at[order] << 32) | ((n[order] - 1) << 24) | (kind << 20) | np.minimum(np.where(nth == 0, here, 0), COUNT)
+            keep = ~same_place
             yield pa.RecordBatch.from_arrays([
-                lot.column("id").take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)),
-                pa.array(anchor.view(np.int64)), pa.array(deal.view(np.int64)), pa.array(count)], names=schema.names)
-
-    found = texts.mapInArrow(run, schema)
-    # at most one row of an anchor per lot meets here
-    total = F.sum("here").over(Window.partitionBy("deal"))
-    return found.withColumn("total", total).filter("here = 0 OR total > 1").select(
-        "id", "at", "n", "anchor", F.when(F.col("here") > 0, F.col("total")).otherwise(0).alias("total"))
+                lot.column("id").take(pa.array(text[order][keep])), pa.array(place[keep]), pa.array(d[keep].view(np.int64)),
+                pa.array(deal[keep].view(np.int64))], names=schema.names)
+
+    bits = lambda shift, mask: F.shiftright("place", shift).bitwiseAND(mask)
+    found = texts.mapInArrow(run, schema).repartition("deal").withColumns({
+        "at": bits(32, (1 << 31) - 1).cast("int"), "n": (bits(24, 255) + 1).cast("int"), "kind": bits(20, 15), "here": bits(0, COUNT)})
+    # a lot sends AHEAD rows of an anchor at most, so a group has that many for each lot
+    copy = F.row_number().over(Window.partitionBy("deal", "digest").orderBy("id", "at"))
+    found = found.withColumn("nth", copy)
+    alike = Window.partitionBy("deal")
+    found = found.withColumns({
+        "kinds": F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(alike), "total": F.sum("here").over(alike),
+        "most": F.max("here").over(alike)})
+    whole = (F.col("kind") == 1) | (F.col("nth") > 1)
+    open_ = (F.col("kind") == 2) | (F.col("kinds") > 1) | (F.col("most") > 1)
+    return found.filter(whole | open_).select("id", "at", "n", whole.alias("whole"), F.when(F.col("kind") == 0, F.col("total")).otherwise(0).alias("total"), "deal", "kind")
 
 
 def run_texts(candidates, texts):
-    """Text of the runs, with their unit; equal runs of a lot collapse to the earliest.
-
-    Rows with a null ``body`` are the later ones: repeats as a whole.
-    """
-    large = candidates.filter(F.col("total") > UNIT).groupBy("anchor").agg(
+    """Text of the runs that aren't decided, with their unit."""
+    open_ = candidates.filter("NOT whole")
+    large = open_.filter(F.col("total") > UNIT).groupBy(F.col("deal").alias("anchor")).agg(
         F.max(F.ceil(F.col("total") / F.lit(UNIT))).cast("int").alias("salts"))
-    marked = candidates.select("id", "at", "n", "anchor").join(settle(large), "anchor", "left")
-    per_doc = marked.groupBy("id").agg(F.collect_list(F.struct("at", "n", "anchor", "salts")).alias("runs"))
-    rows = per_doc.join(texts, "id").select("id", "text", "runs")
-    schema = extend(rows.select("id").schema, "at int, n int, unit long, salted boolean, body binary")
+    per_doc = open_.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+    rows = per_doc.hint("merge").join(texts, "id").select("id", "_text", "runs")
+    schema = extend(rows.select("id").schema, "at int, n int, anchor long, body binary")
 
     def run(batches):
-        for lot, held in lots(batches, "text", LOT):
-            ids, out, seen = lot.column("id").to_pylist(), [], {}
-            for k, (doc, raw, found) in enumerate(zip(ids, _bytes(held), lot.column("runs").to_pylist())):
-                for r in found:
-                    at, n = r["at"], r["n"]
+        for lot, held in lots(batches, "_text", LOT):
+            out = []
+            for doc, raw, found in zip(lot.column("id").to_pylist(), _bytes(held), lot.column("runs").to_pylist()):
+                for at, n in {(r["at"], r["n"]) for r in found}:
                     body = raw[at : at + n + WIDTH - 1]
-                    if len(body) < n + WIDTH - 1:
-                        continue  # another text under the same id
-                    place, was = (doc, at), seen.get((r["anchor"], body))
-                    row = [doc, at, n, r["anchor"], r["salts"], body]
-                    if was is None:
-                        seen[r["anchor"], body] = len(out)
-                    elif place < (out[was][0], out[was][1]):
-                        out[was][5], seen[r["anchor"], body] = None, len(out)
-                    elif place > (out[was][0], out[was][1]):
-                        row[5] = None
-                    else:
-                        continue  # the same place again
-                    out.append(row)
+                    if len(body) == n + WIDTH - 1:  # else another text under the same id
+                        out.append((doc, at, n, body))
             if not out:
                 continue
-            doc, at, n, anchor, salts, body = map(list, zip(*out))
-            salt = [0 if s is None else hash((d, a)) % s for s, d, a in zip(salts, doc, at)]
-            unit = mix(np.array(anchor, np.int64).view(np.uint64) + np.array(salt, np.uint64))
-            later = np.array([b is None for b in body])  # need no unit, so they spread
-            unit[later] = mix(unit[later] + np.nonzero(later)[0].astype(np.uint64))
+            doc, at, n, body = map(list, zip(*out))
+            size = np.array([len(x) for x in body])
+            gram = grams(np.frombuffer(b"".join(body), np.uint8))
+            start = np.cumsum(size) - size
+            inside = np.arange(len(gram)) - np.repeat(start, size)[: len(gram)] <= np.repeat(size, size)[: len(gram)] - GRAM
+            anchor = np.minimum.reduceat(np.where(inside, gram, np.uint64(0xFFFFFFFFFFFFFFFF)), start)
             yield pa.RecordBatch.from_arrays([
-                pa.array(doc, lot.column("id").type), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(unit.view(np.int64)),
-                pa.array([s is not None for s in salts]), pa.array(body, pa.binary())], names=schema.names)
+                pa.array(doc, lot.column("id").type), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(anchor.view(np.int64)),
+                pa.array(body, pa.binary())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    bodies = rows.mapInArrow(run, schema).join(settle(large), "anchor", "left")
+    salt = F.pmod(F.xxhash64("id", "at"), F.coalesce("salts", F.lit(1)))
+    return bodies.select("id", "at", "n", F.xxhash64("anchor", salt).alias("unit"), F.col("salts").isNotNull().alias("salted"), "body")
 
 
 def _blocks(batches, key, limit):
@@ -187,14 +214,14 @@ def _blocks(batches, key, limit):
         yield pa.Table.from_batches(held)
 
 
-def _windows(block, rows):
+def _windows(block):
     """(row, offset) of windows of a block's runs that repeat an earlier one, and of the earliest ones in salted units.
 
     Returns (row, offset, is a repeat, fingerprints) arrays.
     """
     unit, ids, at, n = (block.column(c).to_numpy() for c in ("unit", "id", "at", "n"))
     body, salted = block.column("body").to_pylist(), block.column("salted").to_numpy()
-    order = rows[np.lexsort((at[rows], ids[rows]))]
+    order = np.lexsort((at, ids))
     seen, kept, copies = {}, [], []
     for i in order:  # earliest first
         if (was := seen.setdefault((unit[i], body[i]), i)) == i:
@@ -243,9 +270,7 @@ def repeats(bodies):
     def run(batches):
         for block in _blocks(batches, "unit", BLOCK):
             ids, at, n = block.column("id").combine_chunks(), block.column("at").to_numpy(), block.column("n").to_numpy()
-            later = np.nonzero(block.column("body").is_null().to_numpy())[0]
-            row, offset, repeat, prints, copies = _windows(block, np.nonzero(block.column("body").is_valid().to_numpy())[0])
-            copies = np.concatenate((copies, later))
+            row, offset, repeat, prints, copies = _windows(block)
             r, o, many = _spans(row[repeat], offset[repeat])
             first = ~repeat
             r, o = np.concatenate((r, copies, row[first])), np.concatenate((o, copies * 0, offset[first]))
@@ -258,15 +283,22 @@ def repeats(bodies):
     return rows.mapInArrow(run, schema)
 
 
+def _texts(docs, id, text):
+    """Rows with an id; the same plan wherever texts are joined by id, so that they are shuffled once."""
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("_text")).filter(F.col("id").isNotNull())
+
+
 def repeated_windows(docs, id="doc_id", text="text"):
     """Per document the windows to remove: ``id``, ``spans`` array of (at, n): n windows from byte ``at``."""
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    small_batches(docs)
+    texts = _texts(docs, id, text)
     candidates = settle(repeated_runs(texts))
     found = repeats(run_texts(candidates, texts))
     # rows without a fingerprint are decided; the others meet by it, and the earliest stays
     own = F.coalesce("p1", F.xxhash64("id", "at"))
     nth = F.dense_rank().over(Window.partitionBy("own", "p2").orderBy("id", "at"))
     spans = found.withColumn("own", own).withColumn("nth", nth).filter("p1 IS NULL OR nth > 1")
+    spans = spans.select("id", "at", "n").unionAll(candidates.filter("whole").select("id", "at", "n"))
     return spans.groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
 
 
@@ -282,9 +314,9 @@ def _kept_mask(size, spans):
 
 def remove_repeats(docs, id="doc_id", text="text"):
     """``docs`` with repeated bytes cut out of the text; parts of a character that remain are dropped."""
-    spans = repeated_windows(docs, id, text).withColumnRenamed("id", "_span_id")
+    spans = repeated_windows(docs, id, text).select(F.col("id").alias("_span_id"), F.col("spans").alias("_spans"))
     names = docs.columns
-    rows = docs.join(spans, docs[id] == F.col("_span_id"), "left").drop("_span_id").withColumnRenamed("spans", "_spans")
+    rows = docs.join(spans.hint("merge"), docs[id] == F.col("_span_id"), "left").drop("_span_id")
 
     def run(batches):
         for lot, held in lots(batches, text, LOT):
@@ -302,12 +334,14 @@ def remove_repeats(docs, id="doc_id", text="text"):
 
 def removal_digests(docs, id="doc_id", text="text"):
     """Per document: ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
-    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    rows = texts.join(repeated_windows(docs, id, text), "id", "left").select("id", "text", "spans")
+    spans = repeated_windows(docs, id, text)
+    rows = _texts(docs, id, text).join(spans.hint("merge"), "id", "left").select("id", "_text", "spans")
+    alone = docs.filter(F.col(id).isNull()).select(F.col(id).alias("id"), F.col(text).alias("_text"))
+    rows = rows.unionByName(alone.withColumn("spans", F.lit(None).cast(rows.schema["spans"].dataType)))
     schema = extend(rows.select(F.col("id").alias(id)).schema, "n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
     def run(batches):
-        for lot, held in lots(batches, "text", LOT):
+        for lot, held in lots(batches, "_text", LOT):
             size, gone, spans, digest = [], [], [], []
             for raw, found in zip(_bytes(held), lot.column("spans").to_pylist()):
                 keep = _kept_mask(len(raw), found) if found else None
