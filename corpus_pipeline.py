@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlog.durable import fresh_path
 from emberlog.llm.base import table
-from emberlog.llm.byte_bpe import decode, encode, public_ranks
+from emberlog.llm.byte_bpe import encode, public_ranks
 from emberlog.llm.decontamination import decontaminate
 from emberlog.llm.near_duplicates import near_deduplicate
 from emberlog.llm.quality_rules import quality_filter
@@ -41,7 +41,7 @@ def drop_leaks(spark, docs, sf_dir):
 def tokenize(spark, docs, sf_dir):
     """Token ids of every text, and the text read back from them."""
     ranks, pattern = public_ranks()
-    coded = decode(encode(docs, ranks, pattern), ranks, pattern)
+    coded = encode(docs, ranks, pattern, read_back="text")
     return coded.select(
         "doc_id", "text", "lang", "source", "n_chars", "tokens", F.size("tokens").cast("long").alias("n_tokens"))
 

@@ -21,17 +21,18 @@ import base64
 import hashlib
 import heapq
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
 
-from emberlog.llm.base import extend, query, table
+from emberlog.llm.base import extend, query, small_batches, table
 
 LONG = 512
 CELLS = 1 << 20
-MEMO = 400_000
+MEMO = 200_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -87,6 +88,7 @@ class Codec:
         self.pairs = PairTable(*np.array(made, np.int64).reshape(-1, 3).T)
         self.whole = ranks
         self.memo = {}
+        self.entry = tuple  # what is kept of a piece's ids; ``digest_entry`` for digests
 
     def encode_rows(self, rows):
         """Token ids of byte strings of similar length, all at once."""
@@ -163,13 +165,16 @@ class Codec:
                     self._keep(p, ids.tolist())
 
     def _keep(self, piece, ids):
-        self.memo[piece] = (ids, ",".join(map(str, ids)), self.decode(ids))
+        self.memo[piece] = self.entry(ids)
+
+    def digest_entry(self, ids):
+        return len(ids), ",".join(map(str, ids)), self.decode(ids)
 
     def decode(self, ids):
         return b"".join([self.tokens[i] for i in ids])
 
     def entries(self, texts):
-        """Per text: the (ids, ids as text, decoded bytes) of its pieces, in order."""
+        """Per text the entries of its pieces, in order."""
         split = [self.split(t) if t else [] for t in texts]
         missing = set().union(*split) - self.memo.keys()
         if len(self.memo) + len(missing) > MEMO:
@@ -181,14 +186,17 @@ class Codec:
 
 
 @cache
-def codec(ranks_path, pattern):
-    """One codec per Python worker and vocabulary."""
+def codec(ranks_path, pattern, digests=False):
+    """One codec per Python worker, vocabulary and kind of entry."""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Codec(ranks, pattern)
+    made = Codec(ranks, pattern)
+    if digests:
+        made.entry = made.digest_entry
+    return made
 
 
-LOT_CHARS = 4 << 20  # characters of text whose pieces are learned together
+LOT_CHARS = 2 << 20  # characters of text whose pieces are learned together
 
 
 def _lots(batches, text):
@@ -203,22 +211,40 @@ def _lots(batches, text):
                 texts, start, held = [], i + 1, 0
 
 
-def encode(docs, ranks_path, pattern, text="text", tokens="tokens"):
-    """``docs`` with the array of token ids of ``text`` in ``tokens`` (replaced if it exists)."""
-    names = [n for n in docs.columns if n != tokens]
-    schema = docs.select(*[f"`{n}`" for n in names]).withColumn(tokens, F.lit(None).cast("array<int>")).schema
+def _ids(entries):
+    """Arrow array of id lists from lists of entries."""
+    flat = np.fromiter(chain.from_iterable(chain.from_iterable(entries)), np.int32)
+    ends = np.cumsum([0] + [sum(map(len, e)) for e in entries])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def encode(docs, ranks_path, pattern, text="text", tokens="tokens", read_back=None):
+    """``docs`` with the array of token ids of ``text`` in ``tokens`` (replaced if it exists).
+
+    ``read_back`` names a column for the text decoded from these ids in the same pass.
+    """
+    small_batches(docs)
+    names = [n for n in docs.columns if n not in (tokens, read_back)]
+    kept = docs.select(*[f"`{n}`" for n in dict.fromkeys([*names, text])])
+    schema = kept.select(*[f"`{n}`" for n in names]).withColumn(tokens, F.lit(None).cast("array<int>"))
+    schema = (schema if read_back is None else schema.withColumn(read_back, F.lit(None).cast("string"))).schema
 
     def run(batches):
         coder = codec(ranks_path, pattern)
         for lot, texts in _lots(batches, text):
-            ids = [[i for e in entry for i in e[0]] for entry in coder.entries(texts)]
-            yield pa.RecordBatch.from_arrays([*[lot.column(n) for n in names], pa.array(ids, pa.list_(pa.int32()))], names=[*names, tokens])
+            ids = _ids(coder.entries(texts))
+            columns = [*[lot.column(n) for n in names], ids]
+            if read_back is not None:
+                flat, ends = ids.values.to_numpy(), ids.offsets.to_numpy()
+                columns.append(pa.array([coder.decode(flat[i:j].tolist()).decode("utf-8", "replace") for i, j in zip(ends, ends[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*[f"`{n}`" for n in names]).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def decode(docs, ranks_path, pattern, tokens="tokens", text="text"):
     """``docs`` with the text of the ids in ``tokens``; bytes that aren't UTF-8 become U+FFFD. Null ids: null."""
+    small_batches(docs)
     names = [n for n in docs.columns if n != text]
     schema = docs.select(*[f"`{n}`" for n in names]).withColumn(text, F.lit(None).cast("string")).schema
 
@@ -233,15 +259,16 @@ def decode(docs, ranks_path, pattern, tokens="tokens", text="text"):
 
 def digests(docs, ranks_path, pattern, id="doc_id", text="text"):
     """Token count and SHA-256 of ids and of decoded bytes, made where the ids are, so that they aren't moved."""
+    small_batches(docs)
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
     schema = extend(rows.select(F.col("_id").alias(id)).schema, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
     def run(batches):
-        coder = codec(ranks_path, pattern)
+        coder = codec(ranks_path, pattern, True)
         for lot, texts in _lots(batches, "_text"):
             counts, of_ids, of_bytes = [], [], []
             for entry in coder.entries(texts):
-                counts.append(sum([len(e[0]) for e in entry]))
+                counts.append(sum([e[0] for e in entry]))
                 of_ids.append(hashlib.sha256(",".join([e[1] for e in entry]).encode()).hexdigest())
                 of_bytes.append(hashlib.sha256(b"".join([e[2] for e in entry])).hexdigest())
             yield pa.RecordBatch.from_arrays(

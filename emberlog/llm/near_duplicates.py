@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
-from emberlog.llm.base import extend, query, table
+from emberlog.llm.base import extend, query, small_batches, table
 from emberlog.llm.components import components
 from emberlog.llm.prefilter import possible
 from emberlog.llm.shingling import lots, mix, shingle_sets
@@ -214,6 +214,7 @@ def confirmed_links(candidates, docs, id="doc_id", text="text", percent=PERCENT)
 
 def near_duplicate_classes(docs, id="doc_id", text="text", percent=PERCENT):
     """One row per document: ``id``, ``n_shingles``, ``component_id``."""
+    small_batches(docs)
     sketches = settle(sketch(docs, id, text))
     digest = ["n", "d1", "d2"]
     first = settle(sketches.filter("n > 0").groupBy(*digest).agg(F.min("id").alias("rep")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
-from emberlog.llm.base import extend, query, table
+from emberlog.llm.base import extend, query, small_batches, table
 from emberlog.llm.shingling import lots, mix
 
 SUPPORT = 0.5  # share of a host's pages that a class must span
@@ -118,7 +118,7 @@ def token_counts(pages, page="page_id", url="url", html="html"):
     schema = extend(rows.select("host").schema, "path string, token long, pages long, total long, vector long, chars long")
 
     def run(batches):
-        for lot, texts in lots(batches, "html", 4 << 20):
+        for lot, texts in lots(batches, "html", 1 << 20):
             hosts, numbers = lot.column("host").to_pylist(), lot.column("page").to_numpy().view(np.uint64)
             keys, page_of, counts, chars = [], [], [], []
             for i, text in enumerate(texts):
@@ -185,13 +185,14 @@ def counted_pages(tokens):
 
 def extract(pages, page="page_id", url="url", html="html", support=SUPPORT):
     """``page``, ``url``, ``text`` and the ``main`` path used, for every row."""
+    small_batches(pages)
     found = templates(token_counts(pages, page, url, html), support)
     rows = pages.select(F.col(page).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     rows = rows.join(found.select("host", "main"), "host", "left").select("page_id", "url", "main", "html")
     schema = extend(rows.drop("html").schema, "text string")
 
     def run(batches):
-        for lot, texts in lots(batches, "html", 4 << 20):
+        for lot, texts in lots(batches, "html", 1 << 20):
             main = lot.column("main").to_pylist()
             out = [main_text(walk(t), tuple(m.split("/")) if m else ()) if t else "" for t, m in zip(texts, main)]
             yield pa.RecordBatch.from_arrays([*[lot.column(n) for n in ("page_id", "url", "main")], pa.array(out, pa.string())], names=schema.names)

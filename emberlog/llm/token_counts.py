@@ -15,7 +15,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from emberlog.llm.base import extend, query, table
+from emberlog.llm.base import extend, query, small_batches, table
 from emberlog.llm.byte_bpe import public_ranks
 from emberlog.operators.ordering import running_totals
 
@@ -33,6 +33,7 @@ def _encoder(ranks_path, pattern):
 
 def with_lengths(docs, ranks_path, pattern, text="text", length="n_tokens", keep=()):
     """The columns ``keep`` of ``docs`` and the encoded length of the whole text."""
+    small_batches(docs)
     rows = docs.select(*[F.col(k) for k in keep], F.col(text).alias("_text"))
     schema = extend(rows.drop("_text").schema, f"{length} long")
 

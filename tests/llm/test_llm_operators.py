@@ -216,7 +216,9 @@ def test_bpe_equals_the_library(docs, texts, nothing):
     letters = [chr(c) for c in [*range(0x250), 0x85, 0xA0, 0x200B, 0x2028, 0x3000, 0x10400, 0x1F600, 0x300, 0x4E2D, 0x661]]
     for _ in range(300):
         s = "".join(rnd.choice(letters if rnd.random() < 0.4 else "abc d\n  's") for _ in range(rnd.randint(0, 700)))
-        assert [i for e in own.entries([s])[0] for i in e[0]] == library.encode_ordinary(s)
+        assert [i for e in own.entries([s])[0] for i in e] == library.encode_ordinary(s)
+    both = byte_bpe.encode(docs, path, pattern, read_back="text")
+    assert set(both.columns) == {*docs.columns, "tokens"} and all(r.text == (texts[r.doc_id] or "") for r in both.collect())
 
 
 def test_token_histogram(docs, texts, nothing):
