@@ -15,6 +15,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from emberlog.durable import settle
 from emberlog.llm.base import extend, query, small_batches, table
 from emberlog.llm.byte_bpe import public_ranks
 from emberlog.operators.ordering import running_totals
@@ -53,7 +54,8 @@ def histogram(lengths, length="n_tokens"):
     ``docs_up_to`` those of this length or less; ``truncated_total`` is the sum of
     min(length, limit) over all documents.
     """
-    counted = lengths.groupBy(F.col(length).alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    # written once: a row per distinct length, so the texts are encoded once
+    counted = settle(lengths.groupBy(F.col(length).alias("n_tokens")).agg(F.count("*").alias("n_docs")))
     sums = running_totals(counted, [], [F.desc("n_tokens")], {
         "docs_at_least": F.col("n_docs"), "tokens_at_least": F.col("n_docs") * F.col("n_tokens")})
     whole = counted.agg(F.sum("n_docs").alias("_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("_tokens")).first()
