@@ -52,15 +52,10 @@ def _shingles(words):
     return F.expr(f"transform(slice({words}, 1, greatest(size({words}) - {WIDTH - 1}, 0)), (x, i) -> xxhash64(slice({words}, i + 1, {WIDTH})))")
 
 
-def _bands(shingles):
-    """Band hashes of an array of shingle hashes."""
-    minima = F.expr(f"transform(sequence(0, {BANDS * ROWS - 1}), j -> array_min(transform({shingles}, x -> xxhash64(x, j))))")
-    return minima, F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, slice(_minima, b * {ROWS} + 1, {ROWS})))")
-
-
 def with_bands(df, shingles):
-    minima, bands = _bands(shingles)
-    return df.withColumn("_minima", minima).withColumn("_band", F.explode(bands)).drop("_minima")
+    """One row per band; its hash is made from the ROWS minima that belong to it."""
+    minima = ", ".join(f"array_min(transform({shingles}, x -> xxhash64(x, b * {ROWS} + {r})))" for r in range(ROWS))
+    return df.withColumn("_band", F.explode(F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, {minima}))")))
 
 
 def scan(docs, templates, id="doc_id", text="text", percent=PERCENT):
