@@ -64,7 +64,8 @@ def scan(docs, templates, id="doc_id", text="text", percent=PERCENT):
     known = templates.select("words", F.explode("shingles").alias("known")).distinct()
     probes = docs.select(F.col(id).alias("_id"), F.xxhash64(text).alias("_text"), folded_words(F.col(text)).alias("_words"))
     probes = probes.select("_id", "_text", _shingles("_words").alias("_sh"))
-    probes = probes.select("_id", "_text", "_sh", F.posexplode("_sh").alias("_at", "_one"))
+    # the outer form keeps Spark from inferring a filter that would split the text again for every shingle
+    probes = probes.select("_id", "_text", "_sh", F.posexplode_outer("_sh").alias("_at", "_one"))
     near = probes.join(known, F.col("_one") == F.col("known")).withColumn("_step", step)
     held = F.col("words") + F.col("_step") - WIDTH  # shingles of a window
     first = F.greatest(F.ceil((F.col("_at") - held + 1) / F.col("_step")), F.lit(0)).cast("int")
