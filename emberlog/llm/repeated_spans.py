@@ -149,11 +149,12 @@ def repeated_runs(texts):
     found = texts.mapInArrow(run, schema).repartition("deal").withColumns({
         "at": bits(32, (1 << 31) - 1).cast("int"), "n": (bits(24, 255) + 1).cast("int"), "kind": bits(20, 15), "here": bits(0, COUNT)})
     # a lot sends AHEAD rows of an anchor at most, so a group has that many for each lot
-    copy = F.row_number().over(Window.partitionBy("deal", "digest").orderBy("id", "at"))
-    found = found.withColumn("nth", copy)
+    # repeated rows come from several lots with one place: none of them is a later copy, yet they are one kind
+    copies = Window.partitionBy("deal", "digest").orderBy("id", "at")
+    found = found.withColumns({"nth": F.dense_rank().over(copies), "row": F.row_number().over(copies)})
     alike = Window.partitionBy("deal")
     found = found.withColumns({
-        "kinds": F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(alike), "total": F.sum("here").over(alike),
+        "kinds": F.sum(F.when(F.col("row") == 1, 1).otherwise(0)).over(alike), "total": F.sum("here").over(alike),
         "most": F.max("here").over(alike)})
     whole = (F.col("kind") == 1) | (F.col("nth") > 1)
     open_ = (F.col("kind") == 2) | (F.col("kinds") > 1) | (F.col("most") > 1)

@@ -157,6 +157,23 @@ def test_repeated_spans(docs, texts, nothing, monkeypatch, unit):
         assert repeated_spans.removal_digests(nothing).count() == 0
 
 
+def test_repeated_rows_in_separate_lots(spark):
+    """Rows that repeat id and text are at one place, whatever lots they come in; later copies under other ids still go."""
+    rnd = random.Random(8)
+    texts = {i: sentence(rnd, 150) for i in range(6)}
+    texts[7] = texts[2]
+    texts[8] = sentence(rnd, 30) + " " + texts[4][100:700]
+    rows = list(texts.items()) + [(i, texts[i]) for i in (0, 1, 2, 7, 8)]
+    want = {d: brute.removal_row(*x) for d, x in brute.repeats(texts).items()}
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    assert frame.rdd.getNumPartitions() == len(rows)
+    got = repeated_spans.removal_digests(frame).collect()
+    assert len(got) == len(rows) and all((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id] for r in got)
+    assert want[0][1] == 0 and want[7][1] == want[7][0] and want[8][1] >= 500
+    left = sorted((r.doc_id, r.text) for r in repeated_spans.remove_repeats(frame).collect())
+    assert [t for d, t in left if d in (0, 1, 2)] == [texts[d] for d in (0, 0, 1, 1, 2, 2)]
+
+
 def test_suffix_order(monkeypatch):
     monkeypatch.setattr(suffix_blocks, "BUCKET", 300)
     rng = np.random.default_rng(2)
