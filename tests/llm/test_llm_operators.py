@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -323,6 +324,32 @@ def test_pages(spark):
     assert page_templates.extract(frame.limit(0)).count() == 0
 
 
+def test_pages_without_template_text(spark):
+    """Texts of the host's template go wherever they stand, also with neutral class names and inside the article; slots stay whole."""
+    rnd = random.Random(4)
+    words = lambda n: " ".join(sentence(rnd, n).split())
+    rows, want = [], {}
+    for i in range(6):
+        story = [words(40) for _ in range(3)]
+        lists = "".join(f"<ul><li>{words(4)}</li></ul>" for _ in range(i % 3))  # the notice moves among its siblings
+        want[i] = "\n\n".join([*story[:2], *re.findall("<li>(.*?)</li>", lists), story[2]])
+        rows.append((i, f"http://in.example/{i}", f"<html><body><div class='q1'>Menu Home About</div><article><p>{story[0]}</p><p>{story[1]}</p>{lists}"
+                     f"<div>Sign up for our letter</div><p>{story[2]}</p></article><div class='q2'>All rights reserved</div></body></html>"))
+    for i in range(10, 15):  # sibling divs, words of each page in both, a teaser named article, and a slot that class words would put off
+        story = words(200)
+        want[i] = story
+        rows.append((i, f"http://div.example/{i}", f"<body><div>Menu Home About</div><div class='widget x'><p>{story}</p></div><div>Posted {i}</div><article>Look {i}</article></body>"))
+    same = words(50)
+    for i in (20, 21):  # an article under two addresses, all of it on both pages
+        want[i] = same
+        rows.append((i, f"http://two.example/{i}", f"<body><div class='ad'>Buy {i}</div><article><p>{same}</p></article></body>"))
+    frame = spark.createDataFrame(rows + rows[:1] + rows[6:7], "page_id long, url string, html string").repartition(5)
+    got = page_templates.extract(frame).collect()
+    assert len(got) == len(rows) + 2
+    for r in got:
+        assert r.text == want[r.page_id], (r.page_id, r.main)
+
+
 def test_license_scan(spark, docs, nothing):
     mit = license_scan.TEMPLATES[7][1]
     rows = [(1, "x " * 40 + mit.upper() + " y" * 30), (2, mit.replace("charge", "cost")), (3, " ".join(mit.split()[:12])), (4, "Released under the MIT License."), (5, None), (6, "")]
