@@ -5,7 +5,7 @@ in the same one) is removed; overlaps count, all strings are judged on the input
 
 1. Each window of 100 bytes has an anchor, the least hash of its 24-byte strings. Equal
    windows have equal anchors, so only windows whose anchor occurs twice can repeat. Runs of
-   windows with one anchor are found per lot of text, with a digest of all their bytes. A lot
+   windows with one anchor are found per lot of text, with a 128-bit digest of all their bytes. A lot
    sends one row per different run, and no more than ``AHEAD`` of one anchor to the same
    place, so neither copies of a passage nor its many contexts meet in one task. A run whose
    digest occurred earlier repeats as a whole; one whose anchor has no other run is unique.
@@ -44,6 +44,7 @@ UNIT = 2048  # runs of a unit
 LOT = 1 << 20  # characters of a lot; a task holds about 100 bytes for each
 AHEAD = 16  # runs of one anchor that a lot sends by the anchor; the others go by their digest
 COUNT = (1 << 20) - 1
+SEEDS = (1, BASE), (0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9)  # of the two halves of a run's digest; bases are odd
 BLOCK = 1 << 20  # bytes of text ordered at once
 
 
@@ -66,10 +67,10 @@ def sliding(values, best):
 
 
 def runs(texts):
-    """All runs of byte strings: (anchor, text number, first window, windows, anchor occurs twice in one run, digest)."""
+    """All runs of byte strings: (anchor, text number, first window, windows, anchor occurs twice in one run, both halves of its 128-bit digest)."""
     long = [i for i, t in enumerate(texts) if len(t) >= WIDTH]
     if not long:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, bool, np.uint64, np.uint64))
     joined = np.frombuffer(b"".join([texts[i] for i in long]), np.uint8)
     size = np.array([len(texts[i]) for i in long])
     start = np.concatenate(([0], np.cumsum(size)[:-1]))
@@ -93,16 +94,16 @@ def runs(texts):
     head, count = np.repeat(head, pieces), np.repeat(count, pieces)
     windows = np.minimum(count - nth * LONGEST, LONGEST)
     first = at[head] + nth * LONGEST
-    digest = span_digests(joined, first, windows + WIDTH - 1)
-    return value[head], np.array(long)[owner[head]], first - start[owner[head]], windows, np.isin(value[head], twice), digest
+    digest, second = (span_digests(joined, first, windows + WIDTH - 1, *k) for k in SEEDS)
+    return value[head], np.array(long)[owner[head]], first - start[owner[head]], windows, np.isin(value[head], twice), digest, second
 
 
-def span_digests(text, start, length):
+def span_digests(text, start, length, seed=1, base=BASE):
     """64-bit digests of byte spans, from prefix sums of mixed words of eight bytes."""
-    eight = mix(words(np.concatenate((text, np.zeros(7, np.uint8)))) + np.uint64(1))
+    eight = mix(words(np.concatenate((text, np.zeros(7, np.uint8)))) + np.uint64(seed))
     sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(eight * powers(len(text)), out=sums[1:])
-    inverse = powers(len(text) + 1, pow(BASE, -1, 1 << 64))
+    np.cumsum(eight * powers(len(text), base), out=sums[1:])
+    inverse = powers(len(text) + 1, pow(base, -1, 1 << 64))
     inside = length - 7  # words that lie within the span
     return mix((sums[start + inside] - sums[start]) * inverse[start] + length.astype(np.uint64))
 
@@ -116,19 +117,19 @@ def repeated_runs(texts):
 
     Runs are dropped here only if no other window can equal one of theirs.
     """
-    schema = extend(texts.select("id").schema, "place long, digest long, deal long")
+    schema = extend(texts.select("id").schema, "place long, digest long, second long, deal long")
 
     def run(batches):
         for lot, held in lots(batches, "_text", LOT):
-            anchor, text, at, n, again, digest = runs(_bytes(held))
+            anchor, text, at, n, again, digest, second = runs(_bytes(held))
             if not len(anchor):
                 continue
             # the texts of a lot come in any order of ids: the earliest of equal runs is the one sent on
             ids = lot.column("id").to_numpy()[text]
-            order = np.lexsort((at, ids, digest, anchor))
-            a, d = anchor[order], digest[order]
+            order = np.lexsort((at, ids, second, digest, anchor))
+            a, d, e = anchor[order], digest[order], second[order]
             other = np.concatenate(([True], a[1:] != a[:-1]))
-            fresh = other | np.concatenate(([True], d[1:] != d[:-1]))
+            fresh = other | np.concatenate(([True], (d[1:] != d[:-1]) | (e[1:] != e[:-1])))
             same_place = np.zeros(len(order), bool)
             same_place[1:] = ~fresh[1:] & (ids[order][1:] == ids[order][:-1]) & (at[order][1:] == at[order][:-1])
             group = np.cumsum(other) - 1
@@ -142,7 +143,7 @@ def repeated_runs(texts):
             place = (at[order] << 32) | ((n[order] - 1) << 24) | (kind << 20) | np.minimum(np.where(nth == 0, here, 0), COUNT)
             keep = ~same_place
             yield pa.RecordBatch.from_arrays([
-                lot.column("id").take(pa.array(text[order][keep])), pa.array(place[keep]), pa.array(d[keep].view(np.int64)),
+                lot.column("id").take(pa.array(text[order][keep])), pa.array(place[keep]), pa.array(d[keep].view(np.int64)), pa.array(e[keep].view(np.int64)),
                 pa.array(deal[keep].view(np.int64))], names=schema.names)
 
     bits = lambda shift, mask: F.shiftright("place", shift).bitwiseAND(mask)
@@ -150,7 +151,7 @@ def repeated_runs(texts):
         "at": bits(32, (1 << 31) - 1).cast("int"), "n": (bits(24, 255) + 1).cast("int"), "kind": bits(20, 15), "here": bits(0, COUNT)})
     # a lot sends AHEAD rows of an anchor at most, so a group has that many for each lot
     # repeated rows come from several lots with one place: none of them is a later copy, yet they are one kind
-    copies = Window.partitionBy("deal", "digest").orderBy("id", "at")
+    copies = Window.partitionBy("deal", "digest", "second").orderBy("id", "at")
     found = found.withColumns({"nth": F.dense_rank().over(copies), "row": F.row_number().over(copies)})
     alike = Window.partitionBy("deal")
     found = found.withColumns({

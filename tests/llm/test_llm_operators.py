@@ -175,6 +175,13 @@ def test_repeated_rows_in_separate_lots(spark):
     assert [t for d, t in left if d in (0, 1, 2)] == [texts[d] for d in (0, 0, 1, 1, 2, 2)]
 
 
+def test_run_digests_have_two_halves():
+    raw = sentence(random.Random(9), 300).encode()
+    *_, first, second = repeated_spans.runs([raw, raw, raw.replace(b"a", b"b")])
+    assert len(set(zip(first, second))) == len(set(first)) == len(set(second)) < len(first)
+    assert not set(first) & set(second)
+
+
 def test_suffix_order(monkeypatch):
     monkeypatch.setattr(suffix_blocks, "BUCKET", 300)
     rng = np.random.default_rng(2)
