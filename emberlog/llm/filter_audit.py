@@ -85,7 +85,7 @@ WITH RECURSIVE grown(prefix, letter, applied, bit, step, mask) AS (
   SELECT '', '', 0, 0, 0, mask FROM {masks}
   UNION ALL
   SELECT concat(g.prefix, f.letter), f.letter, g.applied | f.bit, f.bit, g.step + 1, g.mask
-  FROM grown g JOIN {filters} f ON (g.applied & f.bit) = 0)
+  FROM grown g JOIN {unused} f ON g.applied = f.without)
 SELECT * FROM grown WHERE step > 0"""
 
 
@@ -94,8 +94,10 @@ def audit(cells, letters):
     if not 1 <= len(letters) <= MOST_FILTERS or len(set("".join(letters))) != len(letters):
         raise ValueError(f"1 to {MOST_FILTERS} filters of one letter each are asked for")
     spark, cells = cells.sparkSession, settle(cells)
-    filters = spark.createDataFrame([(x, 1 << k) for k, x in enumerate(letters)], "letter string, bit int")
-    levels = settle(spark.sql(LEVELS, masks=cells.select("mask").distinct(), filters=filters))
+    unused = spark.createDataFrame(  # at most 2^filters times filters rows
+        [(a, x, 1 << k) for a in range(1 << len(letters)) for k, x in enumerate(letters) if not a >> k & 1],
+        "without int, letter string, bit int")
+    levels = settle(spark.sql(LEVELS, masks=cells.select("mask").distinct(), unused=unused))
     fails = F.col("mask").bitwiseAND(F.col("bit")) != 0
     alive = F.col("mask").bitwiseAND(F.col("applied") - F.col("bit")) == 0
     total = lambda cond, what="n": F.sum(F.when(cond, F.col(what)).otherwise(0)).cast("long")
