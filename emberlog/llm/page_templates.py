@@ -14,6 +14,9 @@ are one page here, so a copy is no witness for a template. Pages are read twice
 shuffled with their text; the templates, one row per host, are joined by the size Spark sees. A
 template has less than 1 / SUPPORT times as many texts as the host's pages have on average.
 
+Elements without text to read (SILENT: pictures, players, buttons and the like) are passed over up to
+their end; one that is left open, or closed by "/>", costs nothing behind it. Formulas are text.
+
 A null page has an empty text; a null url is a host of its own. A page unlike its host's
 template, and one without any slot text (all of it stands on most pages of the host), falls back
 on its own article, main or body. Repeated rows are pages of their own in the result. Extra
@@ -41,13 +44,15 @@ CONTAINERS = set("html body main article section div nav header footer aside for
 BLOCKS = CONTAINERS | set(
     "p h1 h2 h3 h4 h5 h6 li dt dd tr td th thead tbody tfoot caption blockquote pre hr address figcaption center summary title head".split())
 DROPPED = set("nav header footer aside form menu dialog head title".split())
-RAW = "script|style|noscript|template|iframe|svg|canvas|object|textarea|select|button|video|audio|math"
+RAW = "script|style|textarea"
+#: Elements without text to read; they end at their end tag, at "/>", or with the block they stand in.
+SILENT = set("noscript template iframe svg canvas object select button video audio".split())
 ASIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|sidebar|menu|nav|navbar|navigation|breadcrumbs?|cookies?|"
     r"notice|alert|popup|modal|newsletter|subscribe|share|social|related|recommended|comments?|replies|disqus|footer|header|masthead|widget)(?:$|[\s_-])", re.I)
 
 PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>"""
     r"|<[a-zA-Z/!?][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
 CLASSES = re.compile(r"""(?:^|\s)class\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -58,11 +63,12 @@ def walk(page):
     """(path, tags, mark, text) of every container (no text) and block of a page, in order.
 
     ``path`` is the tuple of open containers, each with its class words or its number among siblings
-    without any; ``tags`` has their names. ``mark`` is the depth of the deepest container that is no
+    without any; ``tags`` has their names. What stands in silent elements is passed over. ``mark`` is the depth of the deepest container that is no
     content by its tag or class words, 0 if there is none.
     """
     stack, held, out = [], [], []
     inside = [Counter()]  # of each open container, the children so far
+    silent = []  # of each open silent element, its name and the blocks opened in it
 
     def flush():
         if held:
@@ -74,11 +80,28 @@ def walk(page):
 
     for m in PIECE.finditer(page):
         if (text := m[5]) is not None:
-            held.append(entities.unescape(text))
+            if not silent:
+                held.append(entities.unescape(text))
             continue
         if m[3] is None:
             continue
-        name = m[3].lower()
+        name, closed = m[3].lower(), m[4].rstrip().endswith("/")
+        if name in SILENT:
+            if m[2] and any(x[0] == name for x in silent):
+                while silent.pop()[0] != name:
+                    pass
+            elif not m[2] and not closed:
+                silent.append((name, Counter()))
+            continue
+        if silent:
+            if not m[2] or name not in BLOCKS:
+                silent[-1][1][name] += 1
+                continue
+            while silent and not silent[-1][1][name]:  # the end of a block around it ends an element left open
+                silent.pop()
+            if silent:
+                silent[-1][1][name] -= 1
+                continue
         if name == "br":
             held.append(" ")
         if name not in BLOCKS:
@@ -92,7 +115,7 @@ def walk(page):
                     inside.pop()
                     if stack.pop()[0] == name:
                         break
-        elif not m[4].rstrip().endswith("/"):
+        elif not closed:
             away = name in DROPPED or any(ASIDE.search(x.strip("\"'")) for x in MARKED.findall(m[4])) and name not in ("html", "body", "article", "main")
             label = name
             if found := CLASSES.search(m[4]):
