@@ -86,12 +86,24 @@ def _(v):
     return S.balanced_bags(v.texts, 4).select("log_id", "label", "bag")
 
 
+#: Support and query sizes that the smallest class carries: a quarter of it, five at most, for support.
+CARRIED_SQL = """c AS (SELECT min(n) AS lo, max(n) AS hi FROM (SELECT count(*) AS n FROM texts GROUP BY label)),
+k AS (SELECT lo, hi, greatest(1, least(5, lo // 4)) AS k FROM c),
+e AS (SELECT *, least(15, lo - k) AS q, least(15, lo - k, hi - 2 * k) AS qi FROM k)"""
+
+
+def carried(v):
+    lo, hi = v.texts.groupBy("label").count().agg(F.min("count"), F.max("count")).first()
+    k = max(1, min(5, lo // 4))
+    return k, min(15, lo - k), min(15, lo - k, hi - 2 * k)
+
+
 @check("smp12_few_shot_episode", "texts", f"""
-WITH r AS (SELECT log_id, label, {rank_sql('label')} AS k FROM texts)
-SELECT log_id, label, CASE WHEN k <= 5 THEN 'support' ELSE 'query' END AS role FROM r
-WHERE k <= 20 AND (SELECT min(n) FROM (SELECT count(*) AS n FROM texts GROUP BY label)) >= 20""")
+WITH {CARRIED_SQL}, r AS (SELECT log_id, label, {rank_sql('label')} AS r FROM texts)
+SELECT log_id, label, CASE WHEN r <= k THEN 'support' ELSE 'query' END AS role FROM r, e WHERE r <= k + q""")
 def _(v):
-    return S.episode(v.texts).select("log_id", "label", "role")
+    k, q, _ = carried(v)
+    return S.episode(v.texts, k=k, q=q).select("log_id", "label", "role")
 
 
 @check("smp13_ratio_matched_episode", "texts", f"""
@@ -107,12 +119,12 @@ def _(v):
 
 
 @check("smp14_imbalanced_episode", "texts", f"""
-WITH r AS (SELECT log_id, label, {rank_sql('label')} AS k FROM texts)
-SELECT log_id, label, CASE WHEN k <= CASE WHEN label = 1 THEN 5 ELSE 10 END THEN 'support' ELSE 'query' END AS role FROM r
-WHERE k <= CASE WHEN label = 1 THEN 20 ELSE 25 END
-  AND (SELECT count(*) FROM texts WHERE label = 1) >= 20 AND (SELECT count(*) FROM texts WHERE label = 0) >= 25""")
+WITH {CARRIED_SQL}, r AS (SELECT log_id, label, {rank_sql('label')} AS r FROM texts),
+s AS (SELECT *, CASE WHEN label = 1 THEN k ELSE 2 * k END AS support FROM r, e)
+SELECT log_id, label, CASE WHEN r <= support THEN 'support' ELSE 'query' END AS role FROM s WHERE r <= support + qi""")
 def _(v):
-    return S.episode_imbalanced(v.texts).select("log_id", "label", "role")
+    k, _, q = carried(v)
+    return S.episode_imbalanced(v.texts, k_min=k, k_maj=2 * k, q=q).select("log_id", "label", "role")
 
 
 @check("smp15_kshot_plan", "logs", """
