@@ -4,11 +4,13 @@ from pyspark.sql import functions as F
 
 from emberlog.checks.base import check, r6
 from emberlog.checks.series import GAP_SQL
+from emberlog.checks.vectors import SERVING_SQL
 from emberlog.durable import fresh_path
 from emberlog.functions.text import error_flag_columns
 from emberlog.operators import models as M
 from emberlog.operators.draws import uniform
 from emberlog.operators.windows import _gap
+from emberlog.streaming import history as H
 from emberlog.streaming import jobs as J
 
 
@@ -72,6 +74,22 @@ def _(v):
     return out.select("log_id", r6("time_diff_seconds").alias("time_diff_seconds"))
 
 
+@check("st4_keyed_history", "logs", f"SELECT log_id, source, round({GAP_SQL}, 6) AS time_diff_seconds FROM logs")
+def _(v):
+    out = H.run_history(log_stream(v).select("log_id", "source", "ts"))
+    return out.select("log_id", "source", r6("gap").alias("time_diff_seconds"))
+
+
+@check("st4_keyed_vectors", "vecs", SERVING_SQL)
+def _(v):
+    schema = v.table("embeddings").schema
+    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(v.sf_dir).select(
+        F.col("vec_id").alias("log_id"), F.concat(F.lit("s"), F.col("label") % 4).alias("source"),
+        F.timestamp_seconds(F.col("vec_id") + 86_400).alias("ts"), F.col("embedding").alias("vec"))
+    out = H.run_history(stream, vec="vec").drop("gap", "source")
+    return out.select("log_id", *[r6(c, 5).alias(c) for c in out.columns if c != "log_id"])
+
+
 @check("st5_stream_templates", "logs", "SELECT content AS template, count(*) AS n FROM logs GROUP BY content")
 def _(v):
     stream = log_stream(v).withColumnRenamed("content", "template")

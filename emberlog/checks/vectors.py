@@ -131,9 +131,31 @@ def _(v):
     return out.select("log_id", *[r6(c, 5).alias(c) for c in out.columns if c != "log_id"])
 
 
-@check("emb1_rolling_serving_frame")
-def _(v):
-    return E.rolling_embedding_stats(v.vecs, exclude_self=True, frame="serving")
+def _serving_sql(w):
+    """Figures of a row against the window of ``w`` rows that ends with it."""
+    return f"""m{w} AS (SELECT log_id, source, rn, sqrt(sum(power(x - mu, 2))) AS mean_dist, avg(sd) AS avg_std,
+    sum(x * mu) / (sqrt(sum(x * x)) * sqrt(sum(mu * mu)) + 1e-8) AS cosine_mean FROM (
+      SELECT log_id, source, rn, x, avg(x) OVER o AS mu, stddev_pop(x) OVER o AS sd FROM comps
+      WINDOW o AS (PARTITION BY source, comp ORDER BY rn ROWS {w - 1} PRECEDING)) GROUP BY ALL),
+d{w} AS (SELECT a.log_id, min(list_distance(a.v, b.v)) AS min_dist, max(list_distance(a.v, b.v)) AS max_dist,
+    median(list_distance(a.v, b.v)) AS median_dist, quantile_cont(list_distance(a.v, b.v), 0.25) AS q25, quantile_cont(list_distance(a.v, b.v), 0.75) AS q75
+  FROM r a JOIN r b ON a.source = b.source AND b.rn BETWEEN a.rn - {w - 1} AND a.rn - 1 GROUP BY 1),
+s{w} AS (SELECT m.log_id, mean_dist, avg_std, coalesce(min_dist, 0) AS min_dist, coalesce(max_dist, 0) AS max_dist, coalesce(median_dist, 0) AS median_dist,
+    CASE WHEN mean_dist > q75 + 1.5 * (q75 - q25) THEN 1.0 ELSE 0.0 END AS is_outlier, cosine_mean FROM m{w} m LEFT JOIN d{w} USING (log_id))"""
+
+
+SERVING_SQL = f"""
+WITH r AS (SELECT log_id, source, list_transform(vec, lambda x: x::DOUBLE) AS v, row_number() OVER (PARTITION BY source ORDER BY log_id) AS rn FROM vecs),
+comps AS (SELECT log_id, source, rn, unnest(v) AS x, generate_subscripts(v, 1) AS comp FROM r),
+{', '.join(_serving_sql(w) for w in E.WINDOWS)}
+SELECT s5.log_id, {', '.join(f'round(s{w}.{n}, 5)::DOUBLE AS {n}_{w}' for w in E.WINDOWS for n in E.ROLLING)}
+FROM s5 JOIN s10 USING (log_id) JOIN s20 USING (log_id) JOIN s50 USING (log_id)"""
+
+
+@check("emb1_rolling_serving_frame", "vecs", SERVING_SQL)
+def _(v):
+    out = E.rolling_embedding_stats(v.vecs, exclude_self=True, frame="serving")
+    return out.select("log_id", *[r6(c, 5).alias(c) for c in out.columns if c != "log_id"])
 
 
 BINARY = "b AS (SELECT log_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, vec FROM v), m AS (SELECT log_id, vec FROM b WHERE label = 1)"
