@@ -4,6 +4,12 @@ Base rows are assigned to the cell of their nearest pivot. The distances of base
 to their pivots bound a query's k-th neighbour from above, and the cell radii bound
 every cell from below, so a query only travels to cells that can hold a neighbour.
 Cells are cut into blocks and queries into lots of limited size: no task holds a cell.
+
+A base of more than ``TOP_PIVOTS`` cells gets a second level: every cell has pivots of its
+own, up to ``SUB_PIVOTS``, and cells within the cell. Both levels are written tables with
+sizes, radii and least distances; lots of queries meet them by key, first the cells, then
+the cells within those they need. Of the base, the driver sees ``TOP_PIVOTS`` pivots, however
+many rows there are.
 """
 
 from __future__ import annotations
@@ -15,8 +21,13 @@ from pyspark.sql import functions as F
 
 from emberlog.durable import settle
 from emberlog.operators.draws import draw
+from emberlog.operators.ordering import attach
 
-CELL = 1024  # base rows a cell holds on average, as long as pivots are few
+CELL = 1024  # base rows a cell holds on average
+TOP_PIVOTS = 256  # cells of the first level, all that the driver gathers of a base
+SUB_PIVOTS = 4096  # cells within one cell; above, they hold more rows
+DRIVER_NUMBERS = 1_000_000  # figures of cells by group that a one-level search may keep on the driver
+ROUTE_NUMBERS = 4_000_000  # distances that a task holds at once while it routes queries
 BLOCK = 4096  # rows of one side that a task sees at a time
 EPS = 1e-9
 
@@ -45,12 +56,131 @@ def _assign(base, pivots):
     return base.mapInPandas(run, schema)
 
 
+def _figures(cells, keys, k):
+    """Of every cell and group: rows ``n``, ``radius`` and the ``first`` k+1 distances to the pivot."""
+    order = Window.partitionBy(*keys, "_part").orderBy("far")
+    near = (
+        cells.select(*keys, "far", F.pmod("b_id", F.lit(64)).alias("_part"))
+        .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
+    )
+    first = near.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("first"))
+    whole = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.max("far").alias("radius"))
+    return attach(whole, first, keys, "inner")
+
+
+def _reaching(m, pivots, radius, first, seen):
+    """(query, cell, upper bound of the query's last neighbour, lower bound of the cell) of all pairs that may matter.
+
+    ``first`` has one row of least distances per cell, filled with infinity. Queries are taken
+    in slices, so that no more than ROUTE_NUMBERS distances are held.
+    """
+    step = max(1, ROUTE_NUMBERS // max(1, first.size))
+    for at in range(0, len(m), step):
+        d = pairwise(m[at : at + step], pivots)
+        sums = (d[:, :, None] + first[None]).reshape(len(d), -1)
+        reach = np.partition(sums, seen - 1, axis=1)[:, seen - 1] if sums.shape[1] >= seen else np.full(len(d), np.inf)
+        low = d - radius[None, :]
+        go, cell = np.nonzero(low <= reach[:, None] + EPS)
+        yield go + at, cell, reach[go], low[go, cell]
+
+
+def _table(first, k):
+    """Lists of least distances as rows of k+1 numbers."""
+    out = np.full((len(first), k + 1), np.inf)
+    for row, x in zip(out, first):
+        row[: len(x)] = x
+    return out
+
+
+def _sub_cells(cells):
+    """(sub pivots: cell, sub, p_vec; base rows with ``sub`` and the distance to its pivot).
+
+    Pivots of a cell are the rows of least digest, about one in CELL, one at least.
+    """
+    sizes = settle(cells.groupBy("cell").agg(F.count("*").alias("_n"), F.min(draw("b_id", seed=13)).alias("_least")))
+    wanted = F.least(F.lit(SUB_PIVOTS), F.ceil(F.col("_n") / CELL)) / F.col("_n")
+    picked = cells.withColumn("_draw", draw("b_id", seed=13)).join(sizes, "cell").filter(
+        F.col("_draw") <= F.greatest(F.col("_least").cast("double"), wanted * F.lit(float(1 << 52))))
+    order = Window.partitionBy("cell").orderBy("_draw", "b_id")
+    pivots = settle(picked.select("cell", (F.row_number().over(order) - 1).cast("int").alias("sub"), F.col("b_vec").alias("p_vec")))
+    lots = sizes.select("cell", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / (4 * BLOCK)).cast("int"))).alias("lot"))
+    rows = cells.drop("far").join(sizes.select("cell", "_n"), "cell").withColumn(
+        "lot", F.pmod(draw("b_id", seed=17), F.floor(F.col("_n") / (4 * BLOCK)).cast("int") + 1).cast("int")).drop("_n")
+
+    def place(left, right):
+        if not len(left):
+            return pd.DataFrame({c: [] for c in ("grp", "b_id", "b_vec", "cell", "far", "sub")})
+        m, p = _matrix(left["b_vec"]), _matrix(right["p_vec"])
+        nearest, far = [], []
+        for at in range(0, len(m), max(1, ROUTE_NUMBERS // len(p))):
+            d = pairwise(m[at : at + max(1, ROUTE_NUMBERS // len(p))], p)
+            nearest.append(d.argmin(1))
+            far.append(d.min(1))
+        return left[["grp", "b_id", "b_vec", "cell"]].assign(far=np.concatenate(far), sub=right["sub"].to_numpy()[np.concatenate(nearest)])
+
+    g_type = cells.schema["grp"].dataType.simpleString()
+    placed = rows.groupBy("cell", "lot").cogroup(pivots.join(lots, "cell").groupBy("cell", "lot")).applyInPandas(
+        place, f"grp {g_type}, b_id long, b_vec array<double>, cell int, far double, sub int")
+    return pivots, settle(placed)
+
+
+def _descend(q, cells, pivots, k, seen, n_lots):
+    """Routes over two levels: (routes, base rows), both with one number per cell of the second level."""
+    g_type = cells.schema["grp"].dataType.simpleString()
+    lot = lambda df: df.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(n_lots - 1))))
+    # columns of their own for a frame that is cogrouped with what it came from
+    anew = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])
+    upper = settle(_figures(cells, ["grp", "cell"], k))
+    subs, placed = _sub_cells(cells)
+    lower = settle(_figures(placed, ["grp", "cell", "sub"], k).join(subs, ["cell", "sub"]))
+    asked = q.withColumn("lot", F.pmod("q_id", F.lit(n_lots)).cast("int")).join(lot(anew(upper, "grp").distinct()), "lot")
+
+    def to_cells(left, right):
+        names = ["grp", "cell", "lot", "q_id", "reach"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in names})
+        at = right["cell"].to_numpy()
+        out = [pd.DataFrame({
+            "grp": right["grp"].iloc[0], "cell": at[cell], "lot": left["lot"].to_numpy()[go], "q_id": left["q_id"].to_numpy()[go], "reach": reach,
+        }) for go, cell, reach, _ in _reaching(_matrix(left["q_vec"]), pivots[at], right["radius"].to_numpy(), _table(right["first"], k), seen)]
+        return pd.concat(out)[names]
+
+    first = settle(asked.groupBy("grp", "lot").cogroup(lot(upper).groupBy("grp", "lot")).applyInPandas(
+        to_cells, f"grp {g_type}, cell int, lot int, q_id long, reach double"))
+    keys = ["grp", "cell", "lot"]
+    near = attach(lower, anew(first, *keys).distinct(), ["grp", "cell"], "inner")
+    reached = first.join(q, "q_id")
+
+    def to_sub_cells(left, right):
+        names = ["grp", "cell", "parts", "lot", "q_id", "reach", "low"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in names})
+        sub, parts, own = right["sub"].to_numpy(), -(-right["n"].to_numpy() // BLOCK), left["reach"].to_numpy()
+        out = []
+        for go, cell, reach, low in _reaching(
+                _matrix(left["q_vec"]), _matrix(right["p_vec"]), right["radius"].to_numpy(), _table(right["first"], k), seen):
+            best = np.minimum(reach, own[go])
+            keep = low <= best + EPS
+            out.append(pd.DataFrame({
+                "grp": right["grp"].iloc[0], "cell": int(right["cell"].iloc[0]) * (1 << 20) + sub[cell[keep]], "parts": parts[cell[keep]],
+                "lot": left["lot"].to_numpy()[go[keep]], "q_id": left["q_id"].to_numpy()[go[keep]], "reach": best[keep], "low": low[keep]}))
+        return pd.concat(out)[names]
+
+    second = reached.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInPandas(
+        to_sub_cells, f"grp {g_type}, cell long, parts int, lot int, q_id long, reach double, low double")
+    # what one cell has shown of a query's reach holds for all
+    least = F.min("reach").over(Window.partitionBy("grp", "q_id"))
+    routes = second.withColumn("reach", least).filter(F.col("low") <= F.col("reach") + EPS).drop("reach", "low")
+    return routes, placed.withColumn("cell", F.col("cell") * F.lit(1 << 20).cast("long") + F.col("sub")).drop("sub")
+
+
 def knn_join(queries, base, k, vec="vec", key="log_id", group=None, normalize=False, n_pivots=None, block=BLOCK,
-             exclude_self=True):
+             exclude_self=True, levels=None):
     """k nearest base rows of every query: q_id, b_id, dist, rank (and ``group``).
 
     ``group`` asks for k neighbours in every group of the base. Distance ties go to the
-    smaller id. Rows with the query's own id are left out unless told otherwise.
+    smaller id. Rows with the query's own id are left out unless told otherwise. ``levels``
+    fixes one or two levels of cells; the size of the base decides otherwise.
     """
     values = lambda df: F.transform(F.col(vec), lambda x: x.cast("double"))
     if normalize:
@@ -63,60 +193,48 @@ def knn_join(queries, base, k, vec="vec", key="log_id", group=None, normalize=Fa
     b = unit(base).select(grp.alias("grp"), F.col(key).cast("long").alias("b_id"), F.col("_v").alias("b_vec"))
     q = unit(queries).select(F.col(key).cast("long").alias("q_id"), F.col("_v").alias("q_vec"))
 
-    # pivots grow with the root of the base: 40,000 of them for 100 million rows
     size = b.count()
-    n_pivots = n_pivots or max(1, min(size // CELL, int(4 * size**0.5)))
+    n_pivots = n_pivots or max(1, min(TOP_PIVOTS, size // CELL))
     sample = b.select("b_id", "b_vec").orderBy(draw("b_id", seed=7), "b_id").limit(n_pivots).collect()
     if not sample:
         return _empty(queries.sparkSession, b, group)
     pivots = np.array([r["b_vec"] for r in sample], dtype=np.float64)
     cells = settle(_assign(b, pivots))
-
-    # per (group, cell): size, radius and the k+1 smallest distances to the pivot
-    order = Window.partitionBy("grp", "cell", "_part").orderBy("far")
-    near = (
-        cells.select("grp", "cell", "far", F.pmod("b_id", F.lit(64)).alias("_part"))
-        .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
-    )
-    bounds = cells.groupBy("grp", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).join(
-        near.groupBy("grp", "cell").agg(F.slice(F.array_sort(F.collect_list("far")), 1, k + 1).alias("first")),
-        ["grp", "cell"],
-    ).collect()  # at most pivots x groups rows
-    table = {}
-    for r in bounds:
-        table.setdefault(r["grp"], []).append((r["cell"], r["n"], r["radius"], list(r["first"])))
     n_lots = max(1, -(-queries.count() // BLOCK))
     seen = k + 1 if exclude_self else k
+    g_type = b.schema["grp"].dataType.simpleString()
+    if levels is None:
+        groups = cells.select("grp").distinct().count() if group else 1
+        levels = 2 if size > TOP_PIVOTS * CELL or groups * n_pivots * (k + 3) > DRIVER_NUMBERS else 1
+    if levels == 2:
+        routes, cells = _descend(q, cells, pivots, k, seen, n_lots)
+    else:
+        table = {}
+        for r in _figures(cells, ["grp", "cell"], k).collect():  # at most DRIVER_NUMBERS figures
+            table.setdefault(r["grp"], []).append((r["cell"], r["n"], r["radius"], list(r["first"])))
 
-    def route(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            m = _matrix(pdf["q_vec"])
-            lots = (pdf["q_id"].to_numpy() % n_lots).astype("int32")
-            for g, rows in table.items():
-                index = [c for c, *_ in rows]
-                d = pairwise(m, pivots[index])
-                sums = np.concatenate(
-                    [d[:, [i]] + np.asarray(first)[None, :] for i, (_, _, _, first) in enumerate(rows)], axis=1
-                )
-                reach = np.partition(sums, seen - 1, axis=1)[:, seen - 1] if sums.shape[1] >= seen else np.full(len(m), np.inf)
-                radius = np.array([r for _, _, r, _ in rows])
-                go, at = np.nonzero(d - radius[None, :] <= reach[:, None] + EPS)
-                if len(go):
-                    yield pd.DataFrame({
-                        "grp": [g] * len(go), "cell": np.array(index, dtype="int32")[at],
-                        "parts": np.array([-(-n // block) for _, n, _, _ in rows], dtype="int32")[at],
-                        "lot": lots[go], "q_id": pdf["q_id"].to_numpy()[go],
-                    })
+        def route(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                m = _matrix(pdf["q_vec"])
+                ids = pdf["q_id"].to_numpy()
+                for g, rows in table.items():
+                    index, sizes, radius, first = (np.array(x) if i < 3 else _table(x, k) for i, x in enumerate(zip(*rows)))
+                    for go, at, *_ in _reaching(m, pivots[index], radius, first, seen):
+                        if len(go):
+                            yield pd.DataFrame({
+                                "grp": [g] * len(go), "cell": index[at].astype("int64"), "parts": (-(-sizes // block)).astype("int32")[at],
+                                "lot": (ids % n_lots).astype("int32")[go], "q_id": ids[go]})
 
-    g_type = b.schema["grp"].dataType.simpleString()
+        routes = q.mapInPandas(route, f"grp {g_type}, cell long, parts int, lot int, q_id long")
     # which query goes to which cell, without vectors; a block then goes only to the lots that need its cell
-    routes = settle(q.mapInPandas(route, f"grp {g_type}, cell int, parts int, lot int, q_id long"))
+    routes = settle(routes)
     routed = routes.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts").join(q, "q_id")
     wanted = routes.select(*[F.col(c).alias(f"_{c}") for c in ("grp", "cell", "parts", "lot")]).distinct()
     blocks = cells.join(wanted, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("cell") == F.col("_cell"))).select(
-        "grp", "cell", F.pmod(draw("b_id", seed=11), F.col("_parts")).cast("int").alias("part"), F.col("_lot").alias("lot"), "b_id", "b_vec")
+        "grp", F.col("cell").cast("long").alias("cell"), F.pmod(draw("b_id", seed=11), F.col("_parts")).cast("int").alias("part"),
+        F.col("_lot").alias("lot"), "b_id", "b_vec")
 
     def nearest(left, right):
         cols = ["grp", "q_id", "b_id", "dist"]
