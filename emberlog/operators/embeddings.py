@@ -178,11 +178,12 @@ def max_cosine(queries, corpus, label="label", vec="vec", key="log_id"):
     )
 
 
-def norm_score(df, vec="vec", fraction=0.75):
-    """Norm above the percentile is an anomaly; min-max scaled norm is the score."""
+def norm_score(df, vec="vec", fraction=0.75, cut=None):
+    """Norm above the percentile, or above a ``cut`` known from sketches, is an anomaly; min-max scaled norm is the score."""
     out = df.withColumn("norm", vector_columns(vec)["emb_magnitude"])
     norms = settle(out.select("norm"))
-    cut = exact_quantiles(norms, "norm", [fraction]).first()["quantile"]
+    if cut is None:
+        cut = exact_quantiles(norms, "norm", [fraction]).first()["quantile"]
     span = literals(norms.agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")))
     return out.withColumns({
         "predicted": F.when(F.col("norm") > F.lit(cut), 1).otherwise(0),

@@ -200,10 +200,13 @@ def tune_threshold(df, by=(), y="y", score="score"):
     )
 
 
-def tune_percentile(df, by=(), y="y", error="error", percentiles=tuple(PERCENTILES)):
-    """Percentile of the error whose value, as a strict bound, has the best macro F1."""
+def tune_percentile(df, by=(), y="y", error="error", percentiles=tuple(PERCENTILES), cuts=None):
+    """Percentile of the error whose value, as a strict bound, has the best macro F1.
+
+    ``cuts`` (by, fraction, quantile) may come from sketches; they are made exactly otherwise.
+    """
     by = list(by)
-    cuts = settle(exact_quantiles(df, error, [p / 100 for p in percentiles], by))
+    cuts = settle(exact_quantiles(df, error, [p / 100 for p in percentiles], by) if cuts is None else cuts.select(*by, "fraction", "quantile"))
     arrays = cuts.groupBy(*by).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("fraction", "quantile"))), lambda s: s["quantile"]).alias("cuts")
     )
