@@ -12,6 +12,7 @@ from emberlog.operators.draws import uniform
 from emberlog.operators.windows import _gap
 from emberlog.streaming import history as H
 from emberlog.streaming import jobs as J
+from emberlog.streaming import leaders as ST
 
 
 def log_stream(v):
@@ -96,6 +97,19 @@ def _(v):
     return J.collect_stream(J.stream_templates(stream), "update", ["template"])
 
 
+@check("st5_mined_templates", "logs", """
+SELECT source, count(*) AS n_lines, count(*) AS n_counted, TRUE AS has_templates FROM logs WHERE trim(content) <> '' GROUP BY source""")
+def _(v):
+    # three files, a batch each
+    folder = fresh_path(v.spark, "mined-in")
+    v.logs.select("log_id", "source", "content").repartition(3).write.parquet(folder)
+    stream = v.spark.readStream.schema("log_id long, source string, content string").option("maxFilesPerTrigger", 1).parquet(folder)
+    store = ST.stream_mined(stream)
+    lines = store.lines().filter("template_id >= 0").groupBy("source").agg(F.count("*").alias("n_lines"), F.count_distinct("template_id").alias("_ids"))
+    counted = store.templates().groupBy("source").agg(F.sum("n").alias("n_counted"), F.count("*").alias("_templates"))
+    return lines.join(counted, "source").select("source", "n_lines", "n_counted", (F.col("_ids") == F.col("_templates")).alias("has_templates"))
+
+
 @check("st6_stream_scoring")
 def _(v):
     # fitted on a drawn half of the rows; the stream brings the other half

@@ -151,9 +151,8 @@ def _cluster_rounds(open_texts, batch=ROUND_ROWS):
             F.array_sort(F.collect_list(F.struct("rank", F.col("masked").alias("text"), "tokens"))).alias("leaders")
         ))
         tried = attach(open_texts, lists, ["leaf"])
-        share = lambda l: F.size(F.filter(F.zip_with("tokens", l["tokens"], lambda a, b: a == b), lambda x: x)) / F.size("tokens")
         tried = settle(tried.withColumn(
-            "leader", F.get(F.filter("leaders", lambda l: share(l) >= F.col("sim")), F.lit(0))["text"]
+            "leader", F.get(F.filter("leaders", lambda l: share_of_tokens(l["tokens"]) >= F.col("sim")), F.lit(0))["text"]
         ).drop("leaders"))
         got = tried.filter("leader IS NOT NULL").select("source", "masked", "leader")
         done = got if done is None else done.unionByName(got)
@@ -187,20 +186,28 @@ def _merge(texts, links):
     return out.select("source", "leader", "n", "n_variants", F.coalesce("mixed", own).alias("template"))
 
 
+def link_texts(texts, leaf_rows=LEAF_ROWS):
+    """(source, masked, leader) of distinct texts that have their ``leaf`` and ``sim``."""
+    sizes = settle(texts.groupBy("leaf").agg(F.count("*").alias("_rows"), F.sum(F.length("masked")).alias("_chars")))
+    sized = attach(texts, sizes, ["leaf"])
+    small = (F.col("_rows") <= leaf_rows) & (F.col("_chars") <= LEAF_CHARS)
+    links = _cluster_small(settle(sized.filter(small).drop("_chars")))
+    big = sized.filter(~small).drop("_rows", "_chars")
+    return links if big.isEmpty() else links.unionByName(_cluster_rounds(settle(big)))
+
+
+def share_of_tokens(other):
+    """Share of the positions at which ``tokens`` and another token array of that length agree."""
+    return F.size(F.filter(F.zip_with("tokens", other, lambda a, b: a == b), lambda x: x)) / F.size("tokens")
+
+
 def mine_templates(df, content="content", source="source", sim=None, depth=None, leaf_rows=LEAF_ROWS):
     """(rows, templates): rows get template_id and template, -1 for blank lines.
 
     template_id counts from 0 in each source, most frequent first.
     """
     texts = settle(leaf_keys(masked_texts(df, content, source), sim, depth))
-    sizes = settle(texts.groupBy("leaf").agg(F.count("*").alias("_rows"), F.sum(F.length("masked")).alias("_chars")))
-    sized = attach(texts, sizes, ["leaf"])
-    small = (F.col("_rows") <= leaf_rows) & (F.col("_chars") <= LEAF_CHARS)
-    links = _cluster_small(settle(sized.filter(small).drop("_chars")))
-    big = sized.filter(~small).drop("_rows", "_chars")
-    if not big.isEmpty():
-        links = links.unionByName(_cluster_rounds(settle(big)))
-    links = settle(links)
+    links = settle(link_texts(texts, leaf_rows))
     ranked = with_sequence(_merge(texts, links), ["source"], [F.col("n").desc(), F.col("leader")], name="template_id")
     templates = settle(ranked)
     ids = settle(attach(links, templates.select("source", "leader", "template_id", "template"), ["source", "leader"]).drop("leader"))
