@@ -6,10 +6,10 @@ import json
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
-
-from emberlog.durable import settle
 from pyspark.sql.types import ArrayType, StringType
 
+from emberlog.sources.runs import commit, compact, read_part
+
 
 def write_logs(df, path, fmt="parquet", mode="overwrite"):
     df.write.mode(mode).partitionBy("source").format(fmt).option("header", True).save(path)
@@ -25,12 +25,6 @@ def write_profile(df, path, mode="overwrite"):
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode(mode).text(path)
 
 
-def _exists(spark, path):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def new_sources(scored, dimension):
     """Source names of scored rows that the dimension lacks."""
     names = scored.select(F.col("source_type").alias("name")).distinct()
@@ -54,26 +48,50 @@ def prediction_tables(scored, model_type, model_name):
     return logs, preds
 
 
+STORE = {  # part -> (schema, partition columns)
+    "sources": ("source_id long, name string, description string", []),
+    "entries": ("entry_id long, raw string, content string, source_id long, day string", ["day"]),
+    "predictions": (
+        "prediction_id long, entry_id long, model_type string, model_name string, predicted_class int, predicted_class_name string, "
+        "confidence double, probabilities array<double>, day string", ["day"]),
+}
+
+
 def save_predictions(scored, base_path, model_type="ml", model_name="model"):
-    """Append new sources, log rows and predictions below ``base_path``, facts by day."""
+    """Add new sources, log rows and predictions to the store at ``base_path``, facts by day.
+
+    All three parts become visible together or not at all; of runs at the same time each
+    source and each key is kept once.
+    """
     spark = scored.sparkSession
-    path = f"{base_path}/sources"
-    dimension = spark.read.parquet(path) if _exists(spark, path) else None
-    new_sources(scored, dimension).write.mode("append").parquet(path)
-    logs, preds = prediction_tables(scored, model_type, model_name)
-    _append_new(logs, f"{base_path}/entries", "entry_id")
-    _append_new(preds, f"{base_path}/predictions", "prediction_id")
-
-
-def _append_new(rows, path, key):
-    """Append the rows whose key the same day of the table lacks; each key once."""
-    spark = rows.sparkSession
-    rows = rows.dropDuplicates(["day", key])
-    if _exists(spark, path):
-        held = spark.read.schema(rows.schema).parquet(path).select("day", key)
-        days = [r["day"] for r in rows.select("day").distinct().collect()]  # the days scored in this run
-        rows = settle(rows.join(held.filter(F.col("day").isin(days)), ["day", key], "left_anti"))
-    rows.write.mode("append").partitionBy("day").parquet(path)
+
+    def make(seen):
+        held = {part: read_part(spark, base_path, part, schema, seen) for part, (schema, _) in STORE.items()}
+        logs, preds = prediction_tables(scored, model_type, model_name)
+        return {
+            "sources": (new_sources(scored, held["sources"]), []),
+            "entries": (_new_rows(logs, held["entries"], "entry_id"), ["day"]),
+            "predictions": (_new_rows(preds, held["predictions"], "prediction_id"), ["day"]),
+        }
+
+    return commit(spark, base_path, make)
+
+
+def read_predictions(spark, base_path, part="predictions"):
+    """``sources``, ``entries`` or ``predictions`` as last published."""
+    return read_part(spark, base_path, part, STORE[part][0])
+
+
+def compact_predictions(spark, base_path):
+    """The store's runs as one."""
+    return compact(spark, base_path, STORE)
+
+
+def _new_rows(rows, held, key):
+    """The rows whose key the same day of the table lacks; each key once."""
+    days = [r["day"] for r in rows.select("day").distinct().collect()]  # the days scored in this run
+    return rows.dropDuplicates(["day", key]).join(
+        held.filter(F.col("day").isin(days)).select("day", key), ["day", key], "left_anti")
 
 
 def progress_text(items, samples="samples"):
