@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from emberlog.checks.base import check, r6
+from emberlog.checks.base import check, draw_sql, r6
 from emberlog.checks.vectors import DOUBLES, two_classes
 from emberlog.operators import embeddings as E
 from emberlog.operators import evaluate as EV
+from emberlog.operators import kernels as K
 from emberlog.operators import models as M
 from emberlog.operators import scoring as SC
 from emberlog.operators import selection as FS
@@ -102,6 +104,7 @@ QUICK = {
     "mod4_linear_svm": ("svc", {"maxIter": 30}),
     "mod6_decision_tree": ("dt", {"maxDepth": 6}),
     "mod7_gaussian_naive_bayes": ("nb", {}),
+    "mod4_rbf_svm": ("svc_rbf", {"maxIter": 30, "size": 64}),
     "mod11_multi_layer": ("mlp", {"hidden": [32, 16], "maxIter": 40}),
     "mod8_balanced_rf": ("balanced_rf", {"members": 6, "maxDepth": 5}),
     "mod8_balanced_bagging": ("balanced_bagging", {"members": 2, "maxIter": 4}),
@@ -129,6 +132,40 @@ def _(v):
     return out.select("label", "idx", r6("mean", 5).alias("mean"), r6("variance", 5).alias("variance"))
 
 
+SIZE = 6  # features of the kernel map in its twin
+
+
+@check("mod4_rbf_map", "vecs", f"""
+WITH {DOUBLES}, x AS (SELECT log_id, (i - 1)::INT AS i, vec[i] AS x FROM v, range(1, 65) t(i)),
+g AS (SELECT 1 / (64 * var_pop(x)) AS gamma FROM x),
+w AS (SELECT j::INT AS j, i::INT AS i, sqrt(-2 * ln(({draw_sql('j, i', 42)} + 0.5) / pow(2, 52))) * cos(2 * pi() * ({draw_sql('j, i', 43)} + 0.5) / pow(2, 52)) AS w
+  FROM range({SIZE}) a(j), range(64) b(i)),
+p AS (SELECT j::INT AS j, 2 * pi() * ({draw_sql('j', 44)} + 0.5) / pow(2, 52) AS phase FROM range({SIZE}) a(j))
+SELECT log_id, j AS idx, round(sqrt(2.0 / {SIZE}) * cos(sum(x * w) * sqrt(2 * any_value(gamma)) + any_value(phase)), 5) AS z
+FROM x JOIN w USING (i) JOIN p USING (j), g GROUP BY log_id, j""")
+def _(v):
+    rows = M.prepare(v.vecs.select("log_id", "vec"))
+    out = K.RandomFourier(inputCol="raw", size=SIZE).fit(rows).transform(rows)
+    return out.select("log_id", F.posexplode(vector_to_array("mapped")).alias("idx", "z")).withColumn("z", r6("z", 5))
+
+
+for _k, _smoothing in enumerate((1e-9, 0.05)):
+
+    @check(f"mod7_log_odds_{_k}", "vecs", f"""
+WITH {DOUBLES}, b AS (SELECT log_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, i, vec[i] AS x FROM v, range(1, 65) t(i)),
+e AS (SELECT {_smoothing} * max(s) AS e FROM (SELECT var_pop(x) AS s FROM b GROUP BY i)),
+c AS (SELECT label, i, avg(x) AS m, var_pop(x) + any_value(e) AS s, count(*) AS n FROM b, e GROUP BY label, i),
+j AS (SELECT log_id, c.label, ln(any_value(n)) - sum(0.5 * ln(2 * pi() * s) + (x - m) * (x - m) / (2 * s)) AS joint
+  FROM b JOIN c USING (i) GROUP BY log_id, c.label)
+SELECT log_id, round(sum(CASE WHEN label = 1 THEN joint ELSE -joint END), 4) AS log_odds,
+  CASE WHEN sum(CASE WHEN label = 1 THEN joint ELSE -joint END) > 0 THEN 1 ELSE 0 END AS p FROM j GROUP BY log_id""")
+    def _(v, smoothing=_smoothing):
+        rows = M.prepare(two_classes(v))
+        out = K.SmoothedBayes(featuresCol="raw", smoothing=smoothing).fit(rows).transform(rows)
+        raw = vector_to_array("rawPrediction")
+        return out.select("log_id", F.round(raw[1] - raw[0], 4).alias("log_odds"), F.col("prediction").cast("int").alias("p"))
+
+
 @check("mod9_grid_search")
 def _(v):
     rest, _ = split(v)
@@ -167,7 +204,7 @@ def _(v):
 @check("mod14_leave_one_source_out")
 def _(v):
     df = v.vecs.select("log_id", "source", F.when(F.col("label") < 5, 1).otherwise(0).alias("label"), "vec")
-    return M.run_loso(df, ["lr", "nb"])
+    return M.run_loso(df, ["lr", "bayes", "dt"])
 
 
 @check("mod15_few_shot_adaptation")

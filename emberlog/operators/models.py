@@ -20,6 +20,7 @@ from emberlog.durable import fresh_path, settle
 from emberlog.functions.text import normalize_label_text
 from emberlog.operators import resample
 from emberlog.operators.evaluate import auroc, metrics, tune_percentile
+from emberlog.operators.kernels import RandomFourier, SmoothedBayes
 from emberlog.operators.sampling import SEED, add_class_weight, balanced_bags, fold_count, kfold, stratified_split, weighted_resample
 
 # The parameter grids. C of the linear models is 1 / regParam; tree depth
@@ -30,7 +31,9 @@ GRIDS = {
     "gbt": {"maxIter": [100, 200], "stepSize": [0.01, 0.1], "maxDepth": [3, 5]},
     "svc": {"regParam": [1.0, 0.1]},
     "dt": {"maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 5]},
-    "nb": {},  # smoothing has no effect on Spark's Gaussian model
+    "svc_rbf": {"regParam": [1.0, 0.1], "gamma": ["scale", "auto"]},
+    "nb": {},  # Spark's own Gaussian model takes no smoothing
+    "bayes": {"smoothing": [1e-9, 1e-8, 1e-7]},
     "mlp": {},
 }
 FIRST = {
@@ -39,7 +42,9 @@ FIRST = {
     "gbt": {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3},
     "svc": {"regParam": 0.1, "maxIter": 100},
     "dt": {"maxDepth": 10},
+    "svc_rbf": {"regParam": 0.1, "maxIter": 100, "size": 256, "gamma": "scale"},
     "nb": {},
+    "bayes": {"smoothing": 1e-9},
     "mlp": {"hidden": [512, 256, 128], "maxIter": 100},
 }
 UNSCALED = {"rf", "gbt", "dt", "balanced_bagging", "balanced_rf", "easy_ensemble"}
@@ -58,6 +63,11 @@ def _estimator(name, params, weighted, width):
     if name == "mlp":
         hidden = p.pop("hidden")
         return MultilayerPerceptronClassifier(featuresCol="features", labelCol="label", layers=[width, *hidden, 2], seed=SEED, **p)
+    if name == "svc_rbf":
+        kernel = RandomFourier(size=p.pop("size"), gamma=p.pop("gamma"), seed=p.pop("seed", SEED))
+        return Pipeline(stages=[kernel, LinearSVC(**common | {"featuresCol": "mapped"}, **p)])
+    if name == "bayes":
+        return SmoothedBayes(**common, **p)
     if name == "nb":
         return NaiveBayes(modelType="gaussian", **common, **p)
     kinds = {"lr": LogisticRegression, "rf": RandomForestClassifier, "gbt": GBTClassifier, "svc": LinearSVC, "dt": DecisionTreeClassifier}
