@@ -159,11 +159,7 @@ WITH {ITEMS_SQL}, {SCORES_SQL}, sh AS (SELECT word, label, score / sum(score) OV
 SELECT item, sh.label::INT AS label, round(sum(share), 5) AS score FROM iw JOIN sh USING (word) GROUP BY item, sh.label""")
 def _(v):
     it = items(v)
-    scores = LAB.word_scores(it)
-    words = LAB.item_words(it).select("item", "word")
-    total = scores.groupBy("word").agg(F.sum("score").alias("total"))
-    share = scores.join(total, "word").select("word", "label", (F.col("score") / F.col("total")).alias("share"))
-    return words.join(share, "word").groupBy("item", "label").agg(r6(F.sum("share"), 5).alias("score"))
+    return LAB.pattern_hits(LAB.item_words(it), LAB.word_scores(it)).withColumn("score", r6("score", 5))
 
 
 @check("lab2_pattern_stats", "tpl", f"""

@@ -142,6 +142,19 @@ def confidence_tier(best, margin):
     return F.when((best >= 2.0) & (margin >= 0.5), "high").when((best >= 1.0) & (margin >= 0.2), "medium").otherwise("low")
 
 
+def pattern_hits(words, scores, key="item", idf=None):
+    """Pattern-library join: per item and label the summed shares of the words it holds.
+
+    The share of a label in a word is its part of the word's scores, times the word's ``idf`` if given.
+    """
+    share = scores.withColumn("_total", F.sum("score").over(Window.partitionBy("word"))).filter("_total > 0")
+    share = share.select("word", "label", (F.col("score") / F.col("_total")).alias("share"))
+    if idf is not None:
+        share = attach(share, idf.select(F.col("term").alias("word"), "idf"), ["word"])
+        share = share.withColumn("share", F.col("share") * F.coalesce("idf", F.lit(1.0))).drop("idf")
+    return words.select(key, "word").join(settle(share), "word").groupBy(key, "label").agg(F.sum("share").alias("score"))
+
+
 def suggest_labels(templates, scores, idf=None, cosines=None, probabilities=None, key="item", text="template", samples=None):
     """suggested, best score and confidence per template.
 
@@ -154,13 +167,7 @@ def suggest_labels(templates, scores, idf=None, cosines=None, probabilities=None
         F.array(normalize_label_text(text)), lambda t: F.size(F.filter(_tokens(text, samples), lambda w: F.instr(t, w) > 0))
     )
     lift = templates.select(key, F.pow(F.lit(1.1), F.get(inside, F.lit(0))).alias("lift"))
-    share = scores.withColumn("_total", F.sum("score").over(Window.partitionBy("word"))).filter("_total > 0")
-    share = share.select("word", "label", (F.col("score") / F.col("_total")).alias("share"))
-    if idf is not None:
-        share = attach(share, idf.select(F.col("term").alias("word"), "idf"), ["word"])
-        share = share.withColumn("share", F.col("share") * F.coalesce("idf", F.lit(1.0))).drop("idf")
-    hits = words.join(settle(share), "word")
-    evidence = hits.groupBy(key, "label").agg(F.sum("share").alias("score"))
+    evidence = pattern_hits(words, scores, key, idf)
     evidence = attach(evidence, lift, [key]).select(key, "label", (F.col("score") * F.col("lift")).alias("score"))
     if cosines is not None:
         evidence = settle(evidence)

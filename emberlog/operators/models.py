@@ -21,6 +21,7 @@ from emberlog.functions.text import normalize_label_text
 from emberlog.operators import resample
 from emberlog.operators.evaluate import auroc, metrics, tune_percentile
 from emberlog.operators.kernels import RandomFourier, SmoothedBayes
+from emberlog.operators.neighbours import knn_classify
 from emberlog.operators.sampling import SEED, add_class_weight, balanced_bags, fold_count, kfold, stratified_split, weighted_resample
 
 # The parameter grids. C of the linear models is 1 / regParam; tree depth
@@ -34,6 +35,7 @@ GRIDS = {
     "svc_rbf": {"regParam": [1.0, 0.1], "gamma": ["scale", "auto"]},
     "nb": {},  # Spark's own Gaussian model takes no smoothing
     "bayes": {"smoothing": [1e-9, 1e-8, 1e-7]},
+    "knn": {"k": [5, 7, 9], "weights": ["uniform", "distance"]},
     "mlp": {},
 }
 FIRST = {
@@ -48,7 +50,7 @@ FIRST = {
     "mlp": {"hidden": [512, 256, 128], "maxIter": 100},
 }
 UNSCALED = {"rf", "gbt", "dt", "balanced_bagging", "balanced_rf", "easy_ensemble"}
-NO_WEIGHT = {"mlp"}
+NO_WEIGHT = {"mlp", "knn"}
 # Members of the balanced ensembles and the model in each. Bagging takes boosted trees, the
 # forest single trees on drawn features, the easy ensemble boosted stumps.
 BALANCED = {"balanced_bagging": ("gbt", 50, {}), "balanced_rf": ("rf", 100, {"numTrees": 1, "featureSubsetStrategy": "sqrt"}),
@@ -145,6 +147,8 @@ def training_rows(df, name, sampler="auto", vec="vec", key="log_id", label="labe
 def fit_on(rows, name, params=None):
     """Fit one parameter set on the outcome of ``training_rows``."""
     scaler, ready, weighted, width = rows
+    if name == "knn":
+        return Neighbours(scaler, ready, **{"k": 5, "weights": "uniform"} | dict(params or {}))
     return PipelineModel([scaler, _estimator(name, params, weighted, width).fit(ready)])
 
 
@@ -155,6 +159,24 @@ def train(df, name, params=None, sampler="auto", vec="vec", key="log_id", label=
     return fit_on(training_rows(df, name, sampler, vec, key, label), name, params)
 
 
+class Neighbours:
+    """Votes of the nearest training rows, which are kept as a table; probabilities are shares of the vote."""
+
+    def __init__(self, scaler, ready, k, weights):
+        self.scaler, self.k, self.weights = scaler, k, weights
+        self.train = settle(ready.select(vector_to_array("features").alias("_vec"), F.col("label").alias("_label"), F.monotonically_increasing_id().alias("_row")))
+
+    def transform(self, df):
+        rows = settle(self.scaler.transform(df).withColumn("_row", F.monotonically_increasing_id()).withColumn(
+            "_vec", vector_to_array("features")).drop("features"))
+        votes = knn_classify(self.train, rows.select("_row", "_vec"), self.k, self.weights, "_vec", "_row", "_label", exclude_self=False)
+        near = votes.select(F.col("_row").alias("_voted"), F.col("prediction").alias("_class"), "share")
+        one = F.when(F.col("_class") == 1, F.col("share")).otherwise(1 - F.col("share"))
+        return rows.join(near, F.col("_row") == F.col("_voted"), "left").withColumns({
+            "prediction": F.col("_class").cast("double"), "probability": array_to_vector(F.array(1 - one, one)),
+        }).drop("_row", "_vec", "_voted", "_class", "share")
+
+
 class BalancedEnsemble:
     """Mean probability of models fitted on balanced bags."""
 

@@ -271,9 +271,9 @@ def _empty(spark, b, group):
     return spark.createDataFrame([], schema)
 
 
-def knn_classify(train, test, k=5, weights="uniform", vec="vec", key="log_id", label="label"):
+def knn_classify(train, test, k=5, weights="uniform", vec="vec", key="log_id", label="label", exclude_self=True):
     """Vote of the k nearest training rows; ties go to the lowest class."""
-    pairs = knn_join(test, train, k, vec, key)
+    pairs = knn_join(test, train, k, vec, key, exclude_self=exclude_self)
     marks = train.select(F.col(key).cast("long").alias("b_id"), F.col(label).alias("_label"))
     vote = F.lit(1.0) if weights == "uniform" else F.try_divide(F.lit(1.0), F.greatest("dist", F.lit(1e-12)))
     votes = pairs.join(marks, "b_id").groupBy("q_id", "_label").agg(F.sum(vote).alias("w"))

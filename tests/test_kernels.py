@@ -44,3 +44,10 @@ def test_smoothing_keeps_constant_features_finite(spark):
     assert table.count() == 3
     got = M.predict(M.train(df, "bayes", {"smoothing": 1e-7}, sampler=None), df).collect()
     assert all(r.p == r.label and 0 <= r.score <= 1 for r in got)
+
+
+def test_neighbours_are_a_model_like_the_others(spark):
+    rest, held = rings(spark, 500)
+    assert f1(M.train(rest, "knn", {"k": 5, "weights": "distance"}, sampler=None), held) >= 0.95
+    # a row of the base is its own nearest neighbour
+    assert f1(M.train(rest, "knn", {"k": 1}, sampler=None), rest) == 1.0
