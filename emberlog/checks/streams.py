@@ -125,12 +125,12 @@ e AS (SELECT min(CASE WHEN log_id % 10 <> 0 THEN ts END) AS a, max(CASE WHEN log
 late AS (SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE <= b - INTERVAL 1 HOUR AS dropped FROM logs, e WHERE log_id % 10 = 0)
 SELECT (SELECT count(*) FROM late WHERE dropped) AS dropped, (SELECT count(*) FROM logs) - (SELECT count(*) FROM late WHERE dropped) AS kept""")
 def _(v):
-    # two files: nine rows of ten first, the rest a batch later, most of it behind the watermark
+    # two parts, each of the files its tasks write: nine rows of ten first, the rest a batch later, most of it behind the watermark
     folder, out = fresh_path(v.spark, "late"), fresh_path(v.spark, "late-out")
     rows = v.logs.withColumn("second", F.col("log_id") % 10 == 0)
     dropped = kept = 0
     for second in (False, True):
-        rows.filter(F.col("second") == second).drop("second").coalesce(1).write.mode("append").parquet(folder)
+        rows.filter(F.col("second") == second).drop("second").write.mode("append").parquet(folder)
         stream = v.spark.readStream.schema(v.logs.schema).parquet(folder)
         query, path = J.run_available(J.stream_counts(stream, "1 minute", "1 hour"), "update", out)
         dropped += J.late_rows(query)
