@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from emberlog.durable import fresh_path, settle
 from emberlog.functions.text import normalize_label_text
 from emberlog.operators import resample
+from emberlog.operators.boosting import boost_bags
 from emberlog.operators.evaluate import auroc, metrics, tune_percentile
 from emberlog.operators.kernels import RandomFourier, SmoothedBayes
 from emberlog.operators.neighbours import knn_classify
@@ -52,9 +53,9 @@ FIRST = {
 UNSCALED = {"rf", "gbt", "dt", "balanced_bagging", "balanced_rf", "easy_ensemble"}
 NO_WEIGHT = {"mlp", "knn"}
 # Members of the balanced ensembles and the model in each. Bagging takes boosted trees, the
-# forest single trees on drawn features, the easy ensemble boosted stumps.
+# forest single trees on drawn features, the easy ensemble AdaBoost of stumps.
 BALANCED = {"balanced_bagging": ("gbt", 50, {}), "balanced_rf": ("rf", 100, {"numTrees": 1, "featureSubsetStrategy": "sqrt"}),
-            "easy_ensemble": ("gbt", 50, {"maxDepth": 1})}
+            "easy_ensemble": ("stumps", 50, {"maxIter": 50})}
 
 
 def _estimator(name, params, weighted, width):
@@ -206,6 +207,9 @@ def train_balanced(df, name, params=None, members=None, vec="vec", key="log_id",
     made.write.partitionBy("bag").parquet(path)  # a fit reads the files of its own bag
     bags = df.sparkSession.read.schema(made.schema).parquet(path)
 
+    if base == "stumps":
+        return boost_bags(bags, members, rest["maxIter"], vec=vec)[0]
+
     def fit(i):
         return build_pipeline(base, rest | {"seed": SEED + i}).fit(prepare(bags.filter(F.col("bag") == i), vec))
 
