@@ -13,7 +13,7 @@ from emberlog.operators import kernels as K
 from emberlog.operators import models as M
 from emberlog.operators import scoring as SC
 from emberlog.operators import selection as FS
-from emberlog.operators.sampling import stratified_split
+from emberlog.operators.sampling import add_class_weight, stratified_split
 from emberlog.functions.text import add_text_features
 
 NUMBERS = ["msg_length", "msg_word_count", "msg_unique_chars", "number_ratio"]
@@ -133,6 +133,23 @@ def _(v):
     return out.select("label", "idx", r6("mean", 5).alias("mean"), r6("variance", 5).alias("variance"))
 
 
+@check("mod1_residual_equations", "vecs", """
+SELECT DISTINCT (generate_subscripts(vec, 1) - 1)::INT AS idx, TRUE AS balanced, (SELECT count(*) FROM vecs) AS n_rows FROM vecs""")
+def _(v):
+    # at the optimum the weighted residuals of every feature balance its penalty, which Spark takes per weighted deviation
+    rows, penalty = two_classes(v), 0.1
+    fitted = M.train(rows, "lr", {"regParam": penalty, "maxIter": 300, "tol": 1e-10}, sampler=None)
+    weights = [float(b) for b in fitted.stages[-1].coefficients]
+    scored = add_class_weight(fitted.transform(M.prepare(rows)), label="label").select(
+        "weight", (vector_to_array("probability")[1] - F.col("label")).alias("residual"), vector_to_array("features").alias("x"))
+    terms = scored.select("weight", "residual", F.posexplode("x").alias("idx", "x")).groupBy("idx").agg(
+        (F.sum(F.col("weight") * F.col("residual") * F.col("x")) / F.sum("weight")).alias("pull"), F.count("*").alias("n_rows"),
+        ((F.sum(F.col("weight") * F.col("x") * F.col("x")) - F.pow(F.sum(F.col("weight") * F.col("x")), 2) / F.sum("weight"))
+         / (F.sum("weight") - F.sum(F.col("weight") * F.col("weight")) / F.sum("weight"))).alias("variance"))
+    held = F.get(F.array(*[F.lit(penalty * b) for b in weights]), F.col("idx")) * F.col("variance")
+    return terms.select("idx", (F.abs(F.col("pull") + held) < 1e-4).alias("balanced"), "n_rows")
+
+
 SIZE = 6  # features of the kernel map in its twin
 
 

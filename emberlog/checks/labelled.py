@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from emberlog.checks.base import check, draw_sql, r6
 from emberlog.checks.samples import rank_sql
+from emberlog.functions.text import mask_variables
 from emberlog.operators import labelling as LAB
 from emberlog.operators import profile as P
 from emberlog.operators import templates as T
@@ -41,6 +42,20 @@ def _(v):
     return T.mine_templates(v.lines)[0].select("log_id", "source", "template_id", "template")
 
 
+@check("tpl1_mining_coverage", "lines", """
+SELECT source, count(*) AS n_lines, count(*) AS n_counted, TRUE AS dense, TRUE AS fitting FROM lines GROUP BY source""")
+def _(v):
+    rows, templates = T.mine_templates(v.lines)
+    # a line has as many tokens as its template, and each agrees with it or meets a wildcard
+    token = F.regexp_extract_all(mask_variables(F.trim("content")), F.lit(r"\S+"), 0)
+    word = F.split("template", " ")
+    fits = (F.size(token) == F.size(word)) & F.forall(F.zip_with(token, word, lambda t, w: (t == w) | (w == T.ANY)), lambda x: x)
+    lines = rows.filter("template_id >= 0").groupBy("source").agg(F.count("*").alias("n_lines"), F.bool_and(fits).alias("fitting"))
+    kept = templates.groupBy("source").agg(
+        F.sum("n").alias("n_counted"), ((F.min("template_id") == 0) & (F.max("template_id") == F.count("*") - 1)).alias("dense"))
+    return lines.join(kept, "source").select("source", "n_lines", "n_counted", "dense", "fitting")
+
+
 STATS_SQL = """s AS (SELECT source, template, count(*) AS n, count(*) FILTER (label = 0) AS n_normal, count(*) FILTER (label = 1) AS n_anomaly FROM tpl GROUP BY source, template),
 t AS (SELECT *, n_normal / (n + 1e-6::DOUBLE) AS normal_score, n_anomaly / (n + 1e-6::DOUBLE) AS anomaly_score FROM s)"""
 

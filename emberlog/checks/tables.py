@@ -6,6 +6,7 @@ from emberlog.checks.base import check, r6
 from emberlog.checks.fits import split
 from emberlog.checks.labelled import STATS_SQL
 from emberlog.checks.profiles import IMBALANCE_SQL
+from emberlog.checks.vectors import two_classes
 from emberlog.durable import fresh_path
 from emberlog.functions.labels import source_type_from_text
 from emberlog.operators import models as M
@@ -194,3 +195,14 @@ def _(v):
     S.save_model(M.train(rest, "lr"), path, v.spark, model="lr", f1=0.5)
     model, meta = S.load_model(path, v.spark)
     return M.predict(model, held).select("log_id", "p", "score", F.lit(meta["model"]).alias("model"))
+
+
+@check("snk6_model_round_trip", "vecs", "SELECT log_id, TRUE AS same FROM vecs")
+def _(v):
+    # a model that is saved and loaded scores every row as before
+    rows, path = two_classes(v), fresh_path(v.spark, "model")
+    fitted = M.train(rows, "bayes", sampler=None)
+    S.save_model(fitted, path, v.spark, model="bayes")
+    loaded, _ = S.load_model(path, v.spark)
+    before, after = (M.predict(m, rows).select("log_id", F.struct("p", "score").alias(n)) for m, n in ((fitted, "a"), (loaded, "b")))
+    return before.join(after, "log_id").select("log_id", (F.col("a") == F.col("b")).alias("same"))
