@@ -115,6 +115,11 @@ def _(v):
     return X.idf_table(v.texts, min_df=2).withColumn("idf", r6("idf"))
 
 
+@check("txt20_idf_sketched", "texts", f"WITH {TERMS_SQL} SELECT term, df, round(idf, 6) AS idf FROM idf WHERE df >= 5")
+def _(v):
+    return X.idf_table(v.texts, min_df=5, sketch_bits=22).withColumn("idf", r6("idf"))
+
+
 @check("txt20_tfidf_weights", "texts", f"""
 WITH {TERMS_SQL}, r AS (SELECT log_id, term, tf * idf AS w FROM tc JOIN idf USING (term))
 SELECT log_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY log_id)), 6) AS weight FROM r""")

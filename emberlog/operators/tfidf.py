@@ -34,13 +34,48 @@ def term_counts(df, content="content", key="log_id", ngrams=(1, 3)):
     return df.select(key, F.explode(terms(content, ngrams)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def idf_table(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_terms=None):
-    """term, df, idf = ln((1+n)/(1+df)) + 1; the most frequent ``max_terms`` if given."""
+SKETCH_ROWS = 2
+
+
+def _cell(term, row, bits):
+    """Cell of a term in one row of the sketch."""
+    return F.shiftrightunsigned(F.xxhash64(term, F.lit(row)), 64 - bits)
+
+
+def maybe_frequent(terms_of_rows, min_df, bits=22, term="term"):
+    """The rows whose term can occur ``min_df`` times, by a count-min sketch; no frequent term is lost.
+
+    A first pass counts cells, whose partial counts have a fixed width and at most ``SKETCH_ROWS`` x 2^bits
+    rows a task, however many terms there are. Of the cells only one bit each is kept: 2^bits / 64
+    longs a row of the sketch, 512 KB for 22 bits, joined before the terms are shuffled. A rare term
+    stays only where a cell of it adds up to ``min_df`` in every row.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), _cell(F.col(term), r, bits).alias("cell")) for r in range(SKETCH_ROWS)]))
+    counts = terms_of_rows.select(cells.alias("c")).groupBy("c.row", "c.cell").agg(F.count("*").alias("n"))
+    one = F.expr("shiftleft(1L, cast(cell & 63 as int))")
+    full = settle(counts.filter(F.col("n") >= min_df).groupBy("row", F.shiftright("cell", 6).alias("_word")).agg(F.bit_or(one).alias("_bits")))
+    out = terms_of_rows
+    for r in range(SKETCH_ROWS):
+        cell = _cell(F.col(term), r, bits)
+        words = full.filter(F.col("row") == r).drop("row")
+        out = out.join(words, F.shiftright(cell, 6) == F.col("_word")).filter(
+            F.getbit("_bits", cell.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("_word", "_bits")
+    return out
+
+
+def idf_table(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_terms=None, sketch_bits=None):
+    """term, df, idf = ln((1+n)/(1+df)) + 1; the most frequent ``max_terms`` if given.
+
+    With ``sketch_bits`` a second reading of the texts saves the shuffle of most terms below ``min_df``.
+    It pays where a task meets many more terms than the sketch has cells.
+    """
     n = df.count()
     if max_terms:
         counts = term_counts(df, content, key, ngrams).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
     else:  # a term once per row, counted before the one shuffle by term
         once = df.select(F.explode(F.array_distinct(terms(content, ngrams))).alias("term"))
+        if sketch_bits:
+            once = maybe_frequent(once, min_df, sketch_bits)
         counts = once.groupBy("term").agg(F.count("*").alias("df"))
     kept = counts.filter(F.col("df") >= min_df)
     if max_terms:
