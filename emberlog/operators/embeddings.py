@@ -108,16 +108,30 @@ def class_prototypes(df, label="label", vec="vec"):
     return out.select(label, "n", vector_to_array("_m").alias("prototype"))
 
 
-PROTO_BLOCK = 256
+PROTO_BLOCK = 256  # centroids that a batch is compared with at once
+PROTO_BYTES = 32 << 20  # centroids that travel with a task
 
 
 def nearest_prototype(df, protos, vec="vec", label="label"):
-    """Nearest class centroid and softmax(-distance) of it.
+    """Nearest class centroid and softmax(-distance) of it; of equal distances the smallest label.
 
-    Centroids travel in blocks inside the tasks; each block folds into a running
-    maximum and a running sum, so any number of classes is handled exactly.
+    Rows pass over the centroids in blocks of at most PROTO_BYTES, of which the driver and a task
+    hold one at a time. Each block folds into a running nearest one and a running sum, so any
+    number of classes is handled exactly; between blocks the rows are written.
     """
-    rows = protos.select(label, "prototype").orderBy(label).collect()  # one row per class
+    ranked = settle(with_sequence(protos.select(label, "prototype"), [], [label], name="_nth"))
+    size = ranked.agg(F.count("*").alias("n"), F.max(F.size("prototype")).alias("w")).first()
+    in_pass = max(1, PROTO_BYTES // (8 * max(size["w"] or 1, 1)))
+    state = [StructField("predicted", protos.schema[label].dataType), StructField("proto_distance", DoubleType()), StructField("_mass", DoubleType())]
+    out = df
+    for first in range(0, max(size["n"], 1), in_pass):
+        out = settle(out) if first else out
+        rows = ranked.filter(F.col("_nth").between(first, first + in_pass - 1)).orderBy("_nth").collect()  # one block
+        out = out.mapInPandas(_fold_block(rows, label, vec), StructType([*df.schema.fields, *state]))
+    return out.withColumn("proto_probability", F.try_divide(F.lit(1.0), "_mass")).drop("_mass")
+
+
+def _fold_block(rows, label, vec):
     labels = np.array([r[label] for r in rows])
     matrix = np.array([r["prototype"] for r in rows], dtype=np.float64)
 
@@ -126,28 +140,22 @@ def nearest_prototype(df, protos, vec="vec", label="label"):
             if not len(pdf):
                 continue
             m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec]])
-            best = np.full(len(m), np.inf)
-            pick = np.zeros(len(m), dtype=int)
-            mass = np.zeros(len(m))
+            seen = "_mass" in pdf
+            best = pdf["proto_distance"].to_numpy(copy=True) if seen else np.full(len(m), np.inf)
+            mass = pdf["_mass"].to_numpy(copy=True) if seen else np.zeros(len(m))
+            name = pdf["predicted"].to_numpy(copy=True) if seen else np.full(len(m), labels[0] if len(labels) else None)
             for start in range(0, len(matrix), PROTO_BLOCK):
-                block = matrix[start:start + PROTO_BLOCK]
-                d = pairwise(m, block)
+                d = pairwise(m, matrix[start:start + PROTO_BLOCK])
                 low, at = d.min(1), d.argmin(1)
                 better = low < best
                 shift = np.where(better, low, best)
                 mass = mass * np.exp(shift - np.where(np.isinf(best), shift, best)) + np.exp(shift[:, None] - d).sum(1)
-                pick = np.where(better, start + at, pick)
+                name = np.where(better, labels[start + at], name)
                 best = shift
-            pdf["predicted"] = labels[pick]
-            pdf["proto_distance"] = best
-            pdf["proto_probability"] = 1.0 / mass
+            pdf["predicted"], pdf["proto_distance"], pdf["_mass"] = name, best, mass
             yield pdf
 
-    schema = StructType(
-        [*df.schema.fields, StructField("predicted", protos.schema[label].dataType),
-         StructField("proto_distance", DoubleType()), StructField("proto_probability", DoubleType())]
-    )
-    return df.mapInPandas(run, schema)
+    return run
 
 
 def ema_prototypes(df, batch_col, momentum=0.9, label="label", vec="vec"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
-from emberlog.operators.draws import draw, hash_rank, uniform
+from emberlog.operators.draws import BITS, draw, hash_rank, uniform
 from emberlog.operators.ordering import attach
 from emberlog.operators.profile import class_counts
 
@@ -102,9 +102,21 @@ def choose_sampler(ratio, minority, profile="ml"):
 
 
 def balanced_bags(df, n_bags=10, seed=SEED, label="label", key="log_id"):
-    """Every bag holds all classes at the size of the smallest; adds ``bag``."""
-    size = min(_counts(df, label).values())
-    spread = df.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(n_bags - 1))))
+    """Every bag holds all classes at the size of the smallest; adds ``bag``. Rows without a label are in none.
+
+    A row enters the ranking of a bag only if its draw lies below a bound that its class passes
+    with a margin of eight standard deviations, so rows x bags are drawn but neither counted nor
+    shuffled. Should a bag fall short of rows below the bound, all rows are ranked.
+    """
+    n = _counts(df, label)
+    if not n:
+        return df.limit(0).withColumn("bag", F.lit(0))
+    size = min(n.values())
+    bound = _per_class({k: int(min(1.0, (size + 8 * size**0.5 + 64) / n[k]) * 2**BITS) for k in n}, label)
+    bags, df = F.sequence(F.lit(0), F.lit(n_bags - 1)), df.filter(F.col(label).isNotNull())
+    low = settle(df.withColumn("bag", F.explode(F.filter(bags, lambda b: draw(key, b, seed=seed) <= bound))))
+    held = low.groupBy("bag", label).agg(F.count("*").alias("n")).filter(F.col("n") >= size).count()
+    spread = low if held == n_bags * len(n) else df.withColumn("bag", F.explode(bags))
     return hash_rank(spread, ["bag", label], [key, "bag"], seed=seed, keep=size).drop("draw_rank")
 
 

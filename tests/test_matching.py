@@ -81,6 +81,10 @@ def test_prototypes_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "PROTO_BLOCK", 4)
     two = nearest_prototype(df, p).toPandas().sort_values("log_id")
     assert np.allclose(one["proto_probability"], two["proto_probability"])
+    monkeypatch.setattr(embeddings, "PROTO_BYTES", 3 * 8 * 5)  # three passes over the rows
+    three = nearest_prototype(df, p).toPandas().sort_values("log_id")
+    assert list(three.columns) == list(one.columns) and (three["predicted"].to_numpy() == one["predicted"].to_numpy()).all()
+    assert np.allclose(one["proto_probability"], three["proto_probability"]) and np.allclose(one["proto_distance"], three["proto_distance"])
 
 
 LINES = (
