@@ -11,7 +11,9 @@ by their rank within the cell, so nothing larger than a cell is ordered in one t
 
 Law of op2: ``rows``. Keys that repeat share a cell; the order within it is (position, key,
 size, checksum). A null key is a key of its own, a null text has no bytes. An empty table
-gives an empty result.
+gives an empty result. Long texts are only measured and summed up. Columns ``shard`` and ``slot`` that
+the rows bring to ``assign`` are replaced; all others stay. One more shard moves about 8 % of the
+rows at even shares and 6 % with a slack of a quarter (1/17 is the least).
 """
 
 from __future__ import annotations

@@ -362,7 +362,7 @@ def test_license_scan(spark, docs, nothing):
     rows = [(1, "x " * 40 + mit.upper() + " y" * 30), (2, mit.replace("charge", "cost")), (3, " ".join(mit.split()[:12])), (4, "Released under the MIT License."), (5, None), (6, "")]
     found = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.template_table(spark))
     got = {(r.doc_id, r.license): r for r in found.collect()}
-    assert set(got) == {(1, "MIT"), (2, "MIT"), (4, "MIT")} or set(got) == {(1, "MIT"), (4, "MIT")}
+    assert set(got) == {(1, "MIT"), (2, "MIT"), (4, "MIT")}  # the edited notice keeps 20 of 25 shingles
     assert got[1, "MIT"].share == 100 and got[4, "MIT"].first_word == 0
     assert license_scan.scan(nothing, license_scan.template_table(spark)).count() == 0
 
