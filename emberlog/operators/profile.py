@@ -97,10 +97,10 @@ SCARCE = 15
 
 # Training choices that go with a strategy tier.
 STRATEGIES = {
-    "extreme_imbalance": (False, True, 150, 64, "vae,stacked_ae"),
-    "high_imbalance": (True, True, 120, 128, "flnn,tabnet,stacked_ae"),
-    "moderate_imbalance": (True, True, 100, 128, "flnn,cnn_attention,transformer,tabnet"),
-    "balanced": (False, False, 100, 128, "transformer,cnn_attention,tabnet,flnn"),
+    "extreme_imbalance": (False, True, 150, 64, ["vae", "stacked_ae"]),
+    "high_imbalance": (True, True, 120, 128, ["flnn", "tabnet", "stacked_ae"]),
+    "moderate_imbalance": (True, True, 100, 128, ["flnn", "cnn_attention", "transformer", "tabnet"]),
+    "balanced": (False, False, 100, 128, ["transformer", "cnn_attention", "tabnet", "flnn"]),
 }
 
 
