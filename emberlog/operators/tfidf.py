@@ -47,9 +47,13 @@ def maybe_frequent(terms_of_rows, min_df, bits=22, term="term"):
 
     A first pass counts cells, whose partial counts have a fixed width and at most ``SKETCH_ROWS`` x 2^bits
     rows a task, however many terms there are. Of the cells only one bit each is kept: 2^bits / 64
-    longs a row of the sketch, 512 KB for 22 bits, joined before the terms are shuffled. A rare term
-    stays only where a cell of it adds up to ``min_df`` in every row.
+    longs a row of the sketch, 512 KB for 22 bits, broadcast so that the terms are joined where they are.
+    A rare term stays only where a cell of it adds up to ``min_df`` in every row: cells have to outnumber
+    all terms of all rows over ``min_df``. For a ``min_df`` that is a share of the rows this number is
+    constant, the terms of a row over the share; for a small fixed one it grows with the table.
     """
+    if not 6 <= bits <= 24:
+        raise ValueError("bits must lie in 6..24")  # 4 MB broadcast for a row of the sketch at most
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("row"), _cell(F.col(term), r, bits).alias("cell")) for r in range(SKETCH_ROWS)]))
     counts = terms_of_rows.select(cells.alias("c")).groupBy("c.row", "c.cell").agg(F.count("*").alias("n"))
     one = F.expr("shiftleft(1L, cast(cell & 63 as int))")
@@ -58,7 +62,7 @@ def maybe_frequent(terms_of_rows, min_df, bits=22, term="term"):
     for r in range(SKETCH_ROWS):
         cell = _cell(F.col(term), r, bits)
         words = full.filter(F.col("row") == r).drop("row")
-        out = out.join(words, F.shiftright(cell, 6) == F.col("_word")).filter(
+        out = out.join(F.broadcast(words), F.shiftright(cell, 6) == F.col("_word")).filter(
             F.getbit("_bits", cell.bitwiseAND(F.lit(63)).cast("int")) == 1).drop("_word", "_bits")
     return out
 
@@ -66,8 +70,8 @@ def maybe_frequent(terms_of_rows, min_df, bits=22, term="term"):
 def idf_table(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_terms=None, sketch_bits=None):
     """term, df, idf = ln((1+n)/(1+df)) + 1; the most frequent ``max_terms`` if given.
 
-    With ``sketch_bits`` a second reading of the texts saves the shuffle of most terms below ``min_df``.
-    It pays where a task meets many more terms than the sketch has cells.
+    With ``sketch_bits`` a second reading of the texts saves the shuffle of most terms below ``min_df``;
+    see ``maybe_frequent`` for when it pays.
     """
     n = df.count()
     if max_terms:
