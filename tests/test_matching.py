@@ -1,10 +1,13 @@
 """Fuzzy matching, nearest neighbours and template mining against brute force."""
 
+from pathlib import Path
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from emberlog.durable import shared_root
 from emberlog.operators import joins as J
 from emberlog.operators import templates as T
 from emberlog.operators.embeddings import nearest_prototype
@@ -143,3 +146,25 @@ def test_salted_lookup_loses_nothing(spark, monkeypatch):
     df = spark.createDataFrame(rows, "log_id long, source string, label int, content string")
     out = J.contrastive_pairs(df).groupBy("kind").count().collect()
     assert {r["kind"]: r["count"] for r in out if r["kind"] != "template"} == {"label": 400, "other_label": 400}
+
+
+def test_mining_writes_a_text_few_times(spark):
+    """Lines of one cluster, alone in their leaf, and repeated, over two sources: what is settled stays near the text."""
+    rng = np.random.default_rng(3)
+    draws = ["".join(w) for w in rng.choice(list("abcdefghij"), (4000, 60))]
+    lines = [f"w{d[:5]} {d[5:25]} {d[25:45]} {d[45:]}" for d in draws] + [f"go to {d}" for d in draws[:50]] * 2
+    rows = [(i, ("a", "b", None)[i % 3], l) for i, l in enumerate(lines)]
+    df = spark.createDataFrame(rows, "log_id long, source string, content string")
+    before = _settled_bytes(spark)
+    got, templates = T.mine_templates(df)
+    got = got.collect()
+    assert _settled_bytes(spark) - before < 4 * sum(map(len, lines))
+    assert templates.agg({"n": "sum"}).first()[0] == len(lines)
+    assert {r["template"] for r in got if r["content"].startswith("go")} == {"go to <*>"}
+    named = {(t["source"], t["template_id"]): t["template"] for t in templates.collect()}
+    assert all(named[r["source"], r["template_id"]] == r["template"] for r in got)
+
+
+def _settled_bytes(spark):
+    root = Path(shared_root(spark).removeprefix("file:"))
+    return sum(f.stat().st_size for f in root.rglob("*.parquet"))
