@@ -15,11 +15,14 @@ from emberlog.streaming import jobs as J
 from emberlog.streaming import leaders as ST
 
 
+def table_stream(v, name):
+    """A table as a file stream. The pattern finds a single file as well as a folder of files."""
+    return v.spark.readStream.schema(v.table(name).schema).parquet(f"{v.sf_dir}/{name}.parque[t]")
+
+
 def log_stream(v):
     """The events table as a file stream, in the shape of the logs view."""
-    schema = v.table("events").schema
-    events = v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(v.sf_dir)
-    return events.select(
+    return table_stream(v, "events").select(
         F.col("event_id").alias("log_id"),
         F.concat(F.lit("s"), F.col("user_id") % 16).alias("source"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -83,8 +86,7 @@ def _(v):
 
 @check("st4_keyed_vectors", "vecs", SERVING_SQL)
 def _(v):
-    schema = v.table("embeddings").schema
-    stream = v.spark.readStream.schema(schema).option("pathGlobFilter", "embeddings.parquet").parquet(v.sf_dir).select(
+    stream = table_stream(v, "embeddings").select(
         F.col("vec_id").alias("log_id"), F.concat(F.lit("s"), F.col("label") % 4).alias("source"),
         F.timestamp_seconds(F.col("vec_id") + 86_400).alias("ts"), F.col("embedding").alias("vec"))
     out = H.run_history(stream, vec="vec").drop("gap", "source")

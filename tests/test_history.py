@@ -3,9 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+from emberlog.checks.base import Views
+from emberlog.checks.streams import table_stream
 from emberlog.operators import embeddings as E
 from emberlog.operators import windows as W
 from emberlog.streaming import history as H
+from emberlog.streaming import jobs as J
 
 SCHEMA = "log_id long, source string, ts timestamp, vec array<float>"
 START = datetime(2024, 1, 1)
@@ -67,3 +70,13 @@ def test_late_rows_leave_the_state_alone(spark, tmp_path):
         write(spark, folder, rows)
     got = {r.log_id: r.gap for r in H.run_history(read(spark, folder), run, watermark="10 seconds").collect()}
     assert got == {1: 0.0, 2: 1.0, 4: 1.0}
+
+
+def test_a_table_of_one_file_or_many_is_streamed(spark, tmp_path):
+    """The tables of a folder are files or folders of files."""
+    rows = spark.createDataFrame([(i, i % 8, [float(i), 1.0]) for i in range(40)], "vec_id long, label int, embedding array<float>")
+    rows.repartition(3).write.parquet(str(tmp_path / "many" / "embeddings.parquet"))
+    (tmp_path / "one").mkdir()
+    rows.toPandas().to_parquet(tmp_path / "one" / "embeddings.parquet")
+    seen = {k: J.collect_stream(table_stream(Views(spark, tmp_path / k), "embeddings")) for k in ("many", "one")}
+    assert seen["many"].count() == seen["one"].count() == 40
