@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from emberlog.durable import settle
 from emberlog.operators.ordering import CHUNK, attach, over_rows, with_halo, with_sequence
@@ -77,7 +78,8 @@ def trailing_sums(df, measures, spans=SPANS, by="source", ts="ts"):
     """Totals over the trailing spans for every (source, second) that has rows.
 
     Both ends and all rows of the same second are inside. A day of seconds plus the
-    longest span is all that one window can hold.
+    longest span is all that one window can hold. Whole numbers are the difference of two
+    running totals, a step per row; a sliding frame would add up all its rows for each row.
     """
     per = _per_second(df, by, ts, measures)
     reach = max(spans.values())
@@ -87,10 +89,15 @@ def trailing_sums(df, measures, spans=SPANS, by="source", ts="ts"):
     cut = per.withColumn("_day", F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own))))
     cut = cut.withColumn("_own", F.col("_day") == own)
     ordered = Window.partitionBy(by, "_day").orderBy("_sec")
-    made = [
-        F.sum(m).over(ordered.rangeBetween(-span, 0)).alias(f"{m}_{label}")
-        for m in measures for label, span in spans.items()
-    ]
+
+    def trailing(m, span):
+        if not isinstance(per.schema[m].dataType, IntegralType):
+            return F.sum(m).over(ordered.rangeBetween(-span, 0))
+        upto, before = (ordered.rangeBetween(Window.unboundedPreceding, end) for end in (0, -span - 1))
+        total = F.sum(m).over(upto) - F.coalesce(F.sum(m).over(before), F.lit(0))
+        return F.when(F.count(m).over(upto) > F.count(m).over(before), total)  # null where all are
+
+    made = [trailing(m, span).alias(f"{m}_{label}") for m in measures for label, span in spans.items()]
     return cut.select("*", *made).filter("_own").drop("_day", "_own", *measures)
 
 

@@ -1,5 +1,7 @@
 """Order operators on skewed input: one source holds most rows, many with one timestamp."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -111,3 +113,17 @@ def test_empty_input(spark, skewed):
     assert W.add_time_gap(df).count() == 0
     assert W.add_trailing_counts(df).count() == 0
     assert hash_rank(df, ["source"], "log_id").count() == 0
+
+
+def test_trailing_sums_step_once_per_row(spark):
+    """A second of totals costs a step and not its whole span; sums without a value stay null."""
+    rows = [("a", 0, 1), ("a", 0, None), ("a", 5, None), ("a", 70, 4), ("a", 130, None), ("a", 200, None), ("b", 60, 2)]
+    df = spark.createDataFrame(rows, "source string, s long, m int").select("source", F.timestamp_seconds("s").alias("ts"), "m")
+    out = W.trailing_sums(df, {"m": F.sum("m"), "x": F.sum(F.col("m") / 2)}, {"1min": 60, "2min": 120})
+    frames = re.findall(r"RangeFrame, ([^,]+),[^)]*\)+ AS m_", out._jdf.queryExecution().analyzed().toString())
+    frames += re.findall(r"sum\(m#\d+L?\) windowspecdefinition\([^$]*RangeFrame, ([^,]+),", out._jdf.queryExecution().analyzed().toString())
+    assert frames and all(f.startswith("unboundedpreceding") for f in frames)
+    got = {(r["source"], r["_sec"]): (r["m_1min"], r["m_2min"], r["x_1min"]) for r in out.collect()}
+    assert got == {
+        ("a", 0): (1, 1, 0.5), ("a", 5): (1, 1, 0.5), ("a", 70): (4, 5, 2.0), ("a", 130): (4, 4, 2.0), ("a", 200): (None, None, None),
+        ("b", 60): (2, 2, 1.0)}
