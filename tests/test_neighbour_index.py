@@ -79,3 +79,12 @@ def test_the_driver_gathers_no_more_of_a_larger_base(spark, small, monkeypatch):
             out = N.knn_join(df.filter("log_id < 20"), df, 2)
         assert out.select(F.count_distinct("q_id")).first()[0] == 20
     assert gathered[0] == gathered[1] == 6
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_routes_are_not_broadcast(spark, small, levels):
+    """Routes are many rows in a small file; they meet the queries by a shuffle."""
+    df = frame(spark, clustered(120), (0,))
+    plan = N.knn_join(df, df, 3, levels=levels, n_pivots=4)._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [q_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
