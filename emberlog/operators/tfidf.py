@@ -6,15 +6,19 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
-from emberlog.operators.ordering import attach
+from emberlog.operators.ngrams import document_frequencies, weights
 
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 
+def words(col):
+    """The lower-cased words of a text, in order."""
+    return F.regexp_extract_all(F.lower(F.col(col) if isinstance(col, str) else col), F.lit(TOKEN), 0)
+
+
 def terms(col, ngrams=(1, 3)):
     """All n-grams of lower-cased words as one array."""
-    c = F.col(col) if isinstance(col, str) else col
-    base = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), 0)
+    base = words(col)
 
     def grown(tokens):
         parts, last = [], tokens
@@ -76,11 +80,8 @@ def idf_table(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_
     n = df.count()
     if max_terms:
         counts = term_counts(df, content, key, ngrams).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    else:  # a term once per row, counted before the one shuffle by term
-        once = df.select(F.explode(F.array_distinct(terms(content, ngrams))).alias("term"))
-        if sketch_bits:
-            once = maybe_frequent(once, min_df, sketch_bits)
-        counts = once.groupBy("term").agg(F.count("*").alias("df"))
+    else:  # a term once per row, counted by blocks of texts
+        counts = document_frequencies(df.select(words(content).alias("words")), ngrams, min_df, sketch_bits)
     kept = counts.filter(F.col("df") >= min_df)
     if max_terms:
         kept = kept.orderBy(F.col("tf").desc(), "term").limit(max_terms)
@@ -89,6 +90,8 @@ def idf_table(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_
 
 def tfidf(df, content="content", key="log_id", ngrams=(1, 3), min_df=1, max_terms=None, idf=None):
     """(key, term, weight) rows of unit length per document."""
+    if idf is None and not max_terms:
+        return weights(df, key, words(content), ngrams, min_df, df.count())
     idf = settle(idf if idf is not None else idf_table(df, content, key, ngrams, min_df, max_terms))
     raw = term_counts(df, content, key, ngrams).join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # the terms of one document
