@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from emberlog.durable import settle
 from emberlog.operators.ordering import attach, with_sequence
 
-BLOCK_WORDS = 1 << 20  # words of a block; a longer text is a block of its own
+BLOCK_WORDS = 1 << 19  # words of a block; a longer text is a block of its own
 BUCKET_TERMS = 2_000_000  # n-grams of blocks that one bucket holds on average, if all of the texts differ
 OUT_ROWS = 100_000  # rows of an Arrow batch
 CHUNK = 1 << 16  # cells of a sketch in one row
