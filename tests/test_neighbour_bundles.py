@@ -43,3 +43,11 @@ def test_bundles_hold_about_a_block(spark):
                 n, _ = size.get(r["bundle"], (0, 0))
                 size[r["bundle"]] = (n + (40 if r["cell"] == 5 else 3), r["parts"])
         assert sum(n for n, _ in size.values()) == 73 and all(-(-n // 16) == parts for n, parts in size.values())
+
+
+def test_ids_that_come_twice_count_as_before(spark):
+    """Each of two equal queries is asked twice, so two equal base rows fill four ranks."""
+    rows = [(i, [float(i), float(i * i)]) for i in range(12)]
+    df = spark.createDataFrame(rows * 2, "log_id long, vec array<double>")
+    got = N.knn_join(df, df, 9, n_pivots=4).filter("q_id = 3").orderBy("rank").collect()
+    assert [r["b_id"] for r in got] == [2] * 8 + [4]
