@@ -76,11 +76,9 @@ def write_store(rows, path, vec="vec", groups=None, label="label", by="source",
     full = E.variant_columns("imbalance_aware_full", groups)
     _moments(fit, full, by).write.parquet(f"{path}/moments")
     features = _feature_names(full, width)
-    wide = fit.select(F.col(label).alias("label"), *[c for c in features if c in named],
-                      *[F.get("vec", F.lit(i)).alias(c) for i, c in enumerate(_components(width))])
-    known = wide.filter("label IS NOT NULL")
+    known = fit.select(F.col(label).alias("label"), _joined(full).alias("values")).filter("label IS NOT NULL")
     if known.select("label").distinct().limit(2).count() > 1:  # one class has nothing to select by
-        chosen = select_features(known, features, "label", k, trees)
+        chosen = select_features(known, features, "label", k, trees, values="values")
     else:
         chosen = spark.createDataFrame([], "rank int, feature string, score double")
     chosen.withColumn("total_features", F.lit(len(features))).coalesce(1).write.parquet(f"{path}/selection")
@@ -113,15 +111,26 @@ def read_variant(spark, path, name, label="label", by="source"):
     columns = E.variant_columns("scaled" if name == "selected" else name, groups)
     types = ", ".join(f"`{c}` double" for c in columns if c != "embedding")
     rows = spark.read.schema(f"log_id long, `{label}` int, vec array<double>{', ' + types if types else ''}, `{by}` string").parquet(f"{path}/rows")
-    out = rows.select("log_id", by, label, _joined(columns).alias("features"))
-    if name in ("scaled", "selected"):
-        scaled = F.zip_with(F.zip_with("features", "mean", lambda x, m: x - m), "spread", lambda d, s: d / s)
-        out = attach(out, spark.read.parquet(f"{path}/moments"), [by]).select("log_id", by, label, scaled.alias("features"))
-    if name == "selected":
-        place = {f: i for i, f in enumerate(_feature_names(columns, len(groups["embedding"])))}
-        wanted = F.array(*[F.lit(place[f]) for f in variant_features(spark, path, name)]).cast("array<int>")
-        out = out.withColumn("features", F.transform(wanted, lambda i: F.get("features", i)))
-    return out
+    if name not in ("scaled", "selected"):
+        return rows.select("log_id", by, label, _joined(columns).alias("features"))
+    fit = spark.read.parquet(f"{path}/moments")
+    if name == "scaled":
+        values, fit = _joined(columns), fit.select(by, F.arrays_zip("mean", "spread").alias("_fit"))
+        none = F.lit(None)
+    else:
+        # the columns kept are picked before they are scaled: a pick from the scaled ones would scale them all for each
+        features = _feature_names(columns, len(groups["embedding"]))
+        chosen = variant_features(spark, path, name)
+        if not chosen:
+            return rows.select("log_id", by, label, F.array().cast("array<double>").alias("features"))
+        parts = {f: F.get("vec", F.lit(i)) for i, f in enumerate(groups["embedding"])}
+        values = F.array(*[parts[f] if f in parts else F.col(f) for f in chosen])
+        pairs = [F.struct(*[F.get(m, F.lit(features.index(f))).alias(m) for m in ("mean", "spread")]) for f in chosen]
+        fit = fit.select(by, F.array(*pairs).alias("_fit"))
+        none = F.array_repeat(F.lit(None).cast("double"), len(chosen))
+    out = attach(rows.select("log_id", by, label, values.alias("features")), fit, [by])
+    scaled = F.zip_with("features", "_fit", lambda x, f: (x - f["mean"]) / f["spread"])
+    return out.select("log_id", by, label, F.coalesce(scaled, none).alias("features"))
 
 
 def _components(width):

@@ -80,3 +80,17 @@ def test_empty_and_single_class(spark, tmp_path):
         got = read(spark, path, "scaled")
         assert len(got) == len(rows) and all(len(r["features"]) == 3 for r in got.values())
         assert all(r["features"] == [] for r in read(spark, path, "selected").values())
+
+
+def test_selected_scales_each_kept_feature_once(spark, store):
+    plan = FS.read_variant(spark, store, "selected").select("features")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("zip_with(") == 1 and "transform(" not in plan
+
+
+def test_selected_of_a_source_without_moments(spark, tmp_path):
+    rows = [(i, "ab"[i % 2], i % 2 if i < 8 else 0, [float(i), 1.0], float(i * i)) for i in range(10)] + [(10, "c", 1, [2.0, 3.0], 4.0)]
+    path = str(tmp_path / "s")
+    FS.write_store(spark.createDataFrame(rows, "log_id long, source string, label int, vec array<double>, a double"), path,
+                   groups={"statistical": ["a"]}, train="source != 'c'", k=2, trees=3)
+    assert read(spark, path, "selected")[10]["features"] == [None, None] and read(spark, path, "scaled")[10]["features"] is None
+    assert None not in read(spark, path, "selected")[3]["features"]
