@@ -6,13 +6,15 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from emberlog.durable import settle
 from emberlog.functions.labels import label_name
 from emberlog.functions.text import export_flag_columns, keyword_tokens, normalize_label_text
-from emberlog.operators.ordering import attach, place
+from emberlog.operators.ordering import attach
 
 # Seed phrases per category, and the label of each category.
 SEED_PATTERNS = {
@@ -114,8 +116,10 @@ def _fold_words(rows, alpha, beta):
     score and a count per word and label travel on; a slice's scores shrink by what later slices count."""
     rows = rows.filter(F.size("_words") > 0)
     words = rows.agg(F.sum(F.size("_words"))).first()[0] or 0
-    # equal orders are told apart by a digest, so that they are spread as well
-    placed = place(rows.withColumn("_tie", F.xxhash64("label", "n", "_words")), [], ["_order", "_tie"], -(-words // FOLD) or 1, packed=True)
+    # equal orders are told apart by a digest, so that they are spread as well; a slice is one partition of the sort
+    order = ["_order", "_tie"]
+    placed = rows.withColumn("_tie", F.xxhash64("label", "n", "_words")).repartitionByRange(-(-words // FOLD) or 1, *order).sortWithinPartitions(*order)
+    placed = placed.select("label", "n", "_words", F.spark_partition_id().cast("long").alias("_slice"))
 
     def behind(code):
         """How many later rows have the code of a row."""
@@ -126,8 +130,11 @@ def _fold_words(rows, alpha, beta):
         out[by_code] = np.repeat(np.cumsum(n), n) - 1 - np.arange(len(code))
         return out
 
-    def fold(pdf):
-        pdf = pdf.sort_values("_m")
+    def fold(batches):
+        held = [pdf for pdf in batches if len(pdf)]
+        if not held:
+            return
+        pdf = pd.concat(held, ignore_index=True)
         at = np.repeat(np.arange(len(pdf)), pdf["_words"].map(len))
         word, names = pd.factorize(np.concatenate(pdf["_words"].to_numpy()))
         mark, labels = pd.factorize(pdf["label"])
@@ -135,12 +142,13 @@ def _fold_words(rows, alpha, beta):
         shrunk = pdf["n"].to_numpy(dtype=float)[at] * (1.0 - beta) ** (behind(word) - behind(pair))
         known = ~np.isnan(shrunk)
         score = np.bincount(pair, np.where(known, shrunk, 0.0))
-        return pd.DataFrame({
+        yield pd.DataFrame({
             "word": names[pairs // len(labels)], "label": labels[pairs % len(labels)], "_slice": pdf["_slice"].iloc[0],
             "_score": np.where(np.bincount(pair, known) > 0, score, np.nan), "_same": np.bincount(pair)})
 
     kind = rows.schema["label"].dataType.simpleString()
-    parts = placed.drop("_order", "_tie").groupBy("_slice").applyInPandas(fold, f"word string, label {kind}, _slice long, _score double, _same long")
+    # written once: a second evaluation could draw other range bounds
+    parts = settle(placed.mapInPandas(fold, f"word string, label {kind}, _slice long, _score double, _same long"), packed=True)
     after = Window.partitionBy("word").orderBy(F.desc("_slice")).rangeBetween(Window.unboundedPreceding, -1)
     own = Window.partitionBy("word", "label").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
     later = F.coalesce(F.sum("_same").over(after), F.lit(0)) - F.coalesce(F.sum("_same").over(own), F.lit(0))
@@ -196,7 +204,7 @@ def confidence_tier(best, margin):
 
 
 def pattern_hits(words, scores, key="item", idf=None):
-    """Pattern-library join: per item and label the summed shares of the words it holds.
+    """Pattern-library join: per item and label the summed shares of the words it holds, a row each or in ``_words``.
 
     The share of a label in a word is its part of the word's scores, times the word's ``idf`` if given.
     """
@@ -205,7 +213,49 @@ def pattern_hits(words, scores, key="item", idf=None):
     if idf is not None:
         share = attach(share, idf.select(F.col("term").alias("word"), "idf"), ["word"])
         share = share.withColumn("share", F.col("share") * F.coalesce("idf", F.lit(1.0))).drop("idf")
-    return words.select(key, "word").join(settle(share), "word").groupBy(key, "label").agg(F.sum("share").alias("score"))
+    items = words.select(key, "_words") if "_words" in words.columns else words.select(key, F.array("word").alias("_words"))
+    return _hits_by_blocks(items, share, key)
+
+
+HIT_WORDS = 2_000_000  # words of items that a task matches at a time
+SEP = "\u0001"  # between the words of an item, which travel as one text
+
+
+def _hits_by_blocks(items, share, key):
+    """(key, label, score): items go by blocks, and to a block each of its different words once, with its shares of all labels."""
+    found = items.agg(F.sum(F.size("_words"))).first()[0] or 0
+    block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-max(found, 0) // HIT_WORDS)))).cast("int")
+    placed = items.filter(F.size("_words") > 0).select(block.alias("_block"), key, "_words")
+    by_word = settle(share.groupBy("word").agg(F.collect_list(F.struct("label", "share")).alias("_shares")))
+    wanted = placed.select("_block", F.explode("_words").alias("word")).distinct().join(by_word, "word")
+    wanted = wanted.select(*[F.col(c).alias(c) for c in wanted.columns])  # columns of their own, to be cogrouped with what they came from
+    kind, number = (df.schema[c].dataType.simpleString() for df, c in ((items, key), (share, "label")))
+
+    def match(left, right):
+        shares = right.column("_shares").combine_chunks()
+        label, part = (pc.struct_field(pc.list_flatten(shares), n) for n in ("label", "share"))
+        marks = label.dictionary_encode(null_encoding="encode")
+        marks, names = marks.indices.to_numpy(zero_copy_only=False).astype(np.int64), marks.dictionary
+        part = part.to_numpy(zero_copy_only=False)
+        many = pc.list_value_length(shares).to_numpy(zero_copy_only=False)
+        start = np.cumsum(many) - many
+        ids = left.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        held = pc.split_pattern(left.column("_words").combine_chunks(), SEP)
+        at = np.repeat(ids.indices.to_numpy(zero_copy_only=False).astype(np.int64), pc.list_value_length(held).to_numpy(zero_copy_only=False))
+        word = pc.fill_null(pc.index_in(pc.list_flatten(held), value_set=right.column("word").combine_chunks()), -1).to_numpy(zero_copy_only=False)
+        at, word = at[word >= 0], word[word >= 0]
+        each = many[word]
+        from_ = np.repeat(start[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        pair, pairs = pd.factorize(np.repeat(at, each) * max(1, len(names)) + marks[from_])
+        known = ~np.isnan(part[from_])
+        score = np.bincount(pair, np.where(known, part[from_], 0.0), minlength=len(pairs))
+        none = np.bincount(pair, known, minlength=len(pairs)) == 0
+        return pa.table({
+            key: ids.dictionary.take(pa.array(pairs // max(1, len(names)))), "label": names.take(pa.array(pairs % max(1, len(names)))),
+            "score": pa.array(score, pa.float64(), mask=none)})
+
+    packed = placed.withColumn("_words", F.array_join("_words", SEP))
+    return packed.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(match, f"{key} {kind}, label {number}, score double")
 
 
 def suggest_labels(templates, scores, idf=None, cosines=None, probabilities=None, key="item", text="template", samples=None):
@@ -214,8 +264,8 @@ def suggest_labels(templates, scores, idf=None, cosines=None, probabilities=None
     ``scores`` come from word_scores; optional evidence: (term, idf), (key, label, cosine)
     and (key, label, probability).
     """
-    words = templates.select(key, F.explode(_words_of(templates, text, samples)).alias("word"))
     found = _words_of(templates, text, samples)
+    words = templates.select(key, found.alias("_words"))
     if samples:
         # the text stays in its own row; it is not copied to every word
         inside = F.get(F.transform(
