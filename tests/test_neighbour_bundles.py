@@ -51,3 +51,39 @@ def test_ids_that_come_twice_count_as_before(spark):
     df = spark.createDataFrame(rows * 2, "log_id long, vec array<double>")
     got = N.knn_join(df, df, 9, n_pivots=4).filter("q_id = 3").orderBy("rank").collect()
     assert [r["b_id"] for r in got] == [2] * 8 + [4]
+
+
+def test_tiles_hold_whole_bundles(spark):
+    cells = spark.createDataFrame([(0, c) for c in range(40) for _ in range(300 if c == 20 else 3)], "grp int, cell int")
+    rows = N._bundles(cells, 16, 64).collect()
+    tiles = {}
+    for r in rows:
+        tiles.setdefault(r["tile"], []).append(r)
+    assert {b for t in tiles.values() for b in {r["bundle"] for r in t}} == {r["bundle"] for r in rows}
+    assert len({(r["bundle"], r["tile"]) for r in rows}) == len({r["bundle"] for r in rows}) > len(tiles)
+    for t in tiles.values():
+        n = sum(300 if r["cell"] == 20 else 3 for r in t)
+        assert {r["parts"] for r in t} == {-(-n // 64)}
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_tiles_and_slices_find_the_same(spark, monkeypatch, levels):
+    """Small tiles, lots and slices; floats travel as floats and are compared as doubles."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "TILE_BYTES", 8 * 6 * 20)
+    monkeypatch.setattr(N, "COMPARED", 30)
+    m = np.random.default_rng(8).normal(0, 1, (200, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "log_id long, vec array<float>")
+    out = N.knn_join(df, df, 4, n_pivots=12, block=8, levels=levels)
+    assert "cast(lambda" not in out._jdf.queryExecution().analyzed().toString()
+    m = m.astype(float)
+    d = np.linalg.norm(m[:, None] - m[None], axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :4]
+    got = {(r["q_id"], r["rank"]): (r["b_id"], r["dist"]) for r in out.collect()}
+    assert len(got) == 800 and all(got[i, j + 1] == (near[i, j], pytest.approx(d[i, near[i, j]])) for i in range(200) for j in range(4))
+
+
+def test_lots_do_not_multiply_with_the_rows():
+    assert N._held(600_000, 64, N.BLOCK) > 10 * N.BLOCK and 8 * 64 * N._held(10**9, 64, N.BLOCK) <= N.TILE_BYTES
+    assert N._held(100, 64, N.BLOCK) == N.BLOCK and N._held(10**6, 10**7, N.BLOCK) == N.BLOCK
