@@ -38,3 +38,16 @@ def test_model_is_that_of_the_pipeline(rows):
     got = M.score_text(model, known).select(normalize_label_text("content").alias("text"), "label", F.get("probabilities", F.lit(1)).alias("one")).collect()
     assert len(got) == 62 and {r["text"] for r in got} > {""}
     assert all(r["one"] == pytest.approx(want[r["text"]], rel=1e-6) for r in got if r["label"] >= 0)
+
+
+def test_gradients_do_not_grow_with_the_files(spark, rows, monkeypatch):
+    seen, fit = [], M.Pipeline.fit
+
+    def kept(self, df, *args):
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(M.Pipeline, "fit", kept)
+    monkeypatch.setattr(M, "settle", lambda df, **kw: df.repartition(60))
+    M.train_text(rows.filter("content IS NOT NULL"), width=1 << 10)
+    assert seen == [2 * spark.sparkContext.defaultParallelism]
